@@ -129,10 +129,9 @@ def ordered_scan(
 
     # A slice that was cut separates the border before it from the one after it; the number of such slices so far
     # numbers the borders. One row a slice is ordered here.
-    cut = first.filter("chain = 1").select("slice").distinct().withColumn("before", F.row_number().over(Window.orderBy("slice")) - 1)
     border = first.filter("raw IS NOT NULL").select("raw", "own", "slice", "chain")
-    whole = border.filter(~F.col("chain").isin(1)).select("slice").distinct().join(cut.select("slice").withColumn("c", F.lit(1)), "slice", "left")
-    numbered = whole.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("slice", "before")
-    chained = border.join(numbered, "slice").select("raw", "own", (F.col("before") + F.col("chain")).alias("chain"))
+    slices = border.groupBy("slice").agg(F.max("chain").alias("cut"))
+    before = F.coalesce(F.sum("cut").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chained = border.join(slices.select("slice", before.alias("before")), "slice").select("raw", "own", (F.col("before") + F.col("chain")).alias("chain"))
     second = chained.groupBy("chain").applyInArrow(decide, result)
     return first.filter("res IS NOT NULL").select("res.*").unionByName(second)
