@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.accumulate import heavy_keys, key_totals
+from ..operators.proximity import in_regions, near_points, point_of
 from ..operators.readings import implausible_readings
 from ..operators.sessions import from_micros, micros, sessions
 from ..operators.trips import plausible_positions, stops_and_trips
@@ -29,6 +30,42 @@ def p1_subject_totals(spark, d):
     return t.select(F.col("subid").cast("smallint").alias("subid"), F.col("rows").alias("n_fixes"), from_micros("first_us").alias("first_fix"), from_micros("last_us").alias("last_fix"), F.round("total", 2).alias("miles"))
 
 
+_NEAR = """
+SELECT DISTINCT processed_id, 'osm_poi' AS layer, osm_type, osm_id FROM processed_gps g JOIN
+(SELECT DISTINCT osm_type, osm_id, cast(regexp_extract(geom, 'POINT *[(] *([-0-9.]+)', 1) AS DOUBLE) AS x, cast(regexp_extract(geom, 'POINT *[(] *[-0-9.]+ +([-0-9.]+)', 1) AS DOUBLE) AS y FROM osm_poi) o
+ON g.lat BETWEEN o.y - 0.0003 AND o.y + 0.0003 AND g.lon BETWEEN o.x - 0.0005 AND o.x + 0.0005
+WHERE 2 * 6378137.0 * asin(least(1, sqrt(pow(sin(radians(o.y - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(o.y)) * pow(sin(radians(o.x - g.lon) / 2), 2)))) <= 30
+"""
+_WITHIN = """
+SELECT g.processed_id, 'osm_landuse' AS layer, e.osm_type, e.osm_id FROM processed_gps g JOIN
+(SELECT osm_type, osm_id, x1, y1, x2, y2, min(least(x1, x2)) OVER w AS bx1, max(greatest(x1, x2)) OVER w AS bx2, min(least(y1, y2)) OVER w AS by1, max(greatest(y1, y2)) OVER w AS by2 FROM
+ (SELECT osm_type, osm_id, p[i][1] AS x1, p[i][2] AS y1, p[i + 1][1] AS x2, p[i + 1][2] AS y2 FROM
+  (SELECT osm_type, osm_id, p, unnest(range(1, len(p))) AS i FROM
+   (SELECT osm_type, osm_id, list_transform(string_split(ring, ','), lambda q: list_transform(string_split(trim(q), ' '), lambda v: cast(v AS DOUBLE))) AS p FROM
+    (SELECT osm_type, osm_id, unnest(regexp_extract_all(geom, '[(]([^()]+)[)]', 1)) AS ring FROM (SELECT DISTINCT osm_type, osm_id, geom FROM osm_landuse WHERE geom IS NOT NULL))))) WINDOW w AS (PARTITION BY osm_type, osm_id)) e
+ON g.lon BETWEEN e.bx1 AND e.bx2 AND g.lat BETWEEN e.by1 AND e.by2
+GROUP BY g.processed_id, e.osm_type, e.osm_id
+HAVING count(*) FILTER (WHERE (e.x1 > g.lon) <> (e.x2 > g.lon) AND e.y1 + (g.lon - e.x1) / (e.x2 - e.x1) * (e.y2 - e.y1) > g.lat) % 2 = 1
+"""
+
+
+def _near(spark, d):
+    gps = table(spark, d, "processed_gps").select("processed_id", "lat", "lon")
+    x, y = point_of("geom")
+    poi = table(spark, d, "osm_poi").select("osm_type", "osm_id", x.alias("ox"), y.alias("oy"))
+    return near_points(gps, poi, "processed_id", ["osm_type", "osm_id"], 30.0, object_lon="ox", object_lat="oy").select("processed_id", F.lit("osm_poi").alias("layer"), "osm_type", "osm_id")
+
+
+def _within(spark, d):
+    gps = table(spark, d, "processed_gps").select("processed_id", "lat", "lon")
+    return in_regions(gps, table(spark, d, "osm_landuse"), "processed_id", ["osm_type", "osm_id"]).select("processed_id", F.lit("osm_landuse").alias("layer"), "osm_type", "osm_id")
+
+
+@R.query("p2_found", f"{_NEAR} UNION ALL {_WITHIN}")
+def p2_found(spark, d):
+    return _near(spark, d).unionByName(_within(spark, d))
+
+
 @R.query("p3_found")
 def p3_found(spark, d):
     return implausible_readings(table(spark, d, "processed_gps")).select("processed_id", "measure")
