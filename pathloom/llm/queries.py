@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.trips import plausible_positions
 from ..plans.registry import Registry, table
+from .clusters import cluster_members, place_clusters
+from .leakage import leaked_items
 from .packing import fill_report, pack, token_counts
 from .runs import read_states, repeated_runs
 from .spans import shared_pairs, shared_report
@@ -54,3 +57,19 @@ def p10_found(spark, d):
 @R.query("p10_shared")
 def p10_shared(spark, d):
     return shared_report(table(spark, d, "documents"))
+
+
+@R.query("p9_found")
+def p9_found(spark, d):
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@R.query("p4_found")
+def p4_found(spark, d):
+    gps = plausible_positions(table(spark, d, "processed_gps"))
+    return cluster_members(gps, place_clusters(gps))
+
+
+@R.query("p4_clusters")
+def p4_clusters(spark, d):
+    return place_clusters(plausible_positions(table(spark, d, "processed_gps"))).select("subid", "cluster_key", "size", "n_components", "typical")
