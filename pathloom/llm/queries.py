@@ -19,7 +19,7 @@ STATES = ["stationary", "transition"]
 
 
 def _state_runs(spark, d):
-    return repeated_runs(table(spark, d, "processed_gps"), "subid", "time", "processed_id", read_states(F.col("movement_state"), STATES), least=5)
+    return repeated_runs(table(spark, d, "processed_gps"), "subid", "time", "processed_id", "movement_state", lambda c: read_states(c, STATES), least=5)
 
 
 _RUNS = """

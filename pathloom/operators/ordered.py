@@ -135,3 +135,56 @@ def ordered_scan(
     chained = border.join(slices.select("slice", before.alias("before")), "slice").select("raw", "own", (F.col("before") + F.col("chain")).alias("chain"))
     second = chained.groupBy("chain").applyInArrow(decide, result)
     return first.filter("res IS NOT NULL").select("res.*").unionByName(second)
+
+
+def with_previous(df: DataFrame, entity: str, order: list[str], columns: list[str], *, n_rows: int, prefix: str = "prev_") -> DataFrame:
+    """``df`` with the named columns of each row's previous row of the same entity (null for an entity's first row).
+
+    As a lag over (entity, order), but through an ordered scan: rows of a heavy entity are spread over slices. All
+    columns of ``order``, as of ``entity``, must be integral and not null; their combination should be unique.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    keys = [entity, *order]
+    types = {f.name: f for f in df.schema}
+    schema = StructType([*df.schema.fields, *(StructField(prefix + c, types[c].dataType) for c in columns), StructField(prefix + "row", LongType())])
+    plain = [f.name for f in df.schema]
+
+    arrow = to_arrow_schema(StructType(schema.fields))
+
+    def column(x: np.ndarray, t: pa.DataType, gone: np.ndarray):
+        null = gone.copy()
+        if x.dtype.kind == "f":
+            null |= np.isnan(x)
+            x = np.where(null, 0, x) if pa.types.is_integer(t) else x
+        elif x.dtype.kind == "O":
+            null |= np.array([v is None for v in x], bool)
+        return pa.array(x.astype(t.to_pandas_dtype()) if pa.types.is_integer(t) else x, type=t, mask=null, from_pandas=False)
+
+    def kernel(a: Arrays, own: np.ndarray) -> dict:
+        at = np.flatnonzero(own)
+        prev = np.maximum(at - 1, 0)
+        first = (at == 0) | (a[entity][prev] != a[entity][at]) if len(at) else np.zeros(0, bool)
+        none = np.zeros(len(at), bool)
+        out = {c: column(a[c][at], arrow.field(c).type, none) for c in plain}
+        out |= {prefix + c: column(a[c][prev], arrow.field(c).type, first) for c in columns}
+        out[prefix + "row"] = pa.array(np.where(first, 0, 1))
+        return out
+
+    return ordered_scan(df, keys, schema, kernel, n_rows=n_rows, halo=1).drop(prefix + "row")
+
+
+def numbered(df: DataFrame, order: list[str], *, n_rows: int, name: str = "row_id", start: int = 1) -> DataFrame:
+    """``df`` with a dense row number over a total order, without a single-task window: ranges are counted, then offset."""
+    schema = T.StructType([*df.schema.fields, T.StructField("__slice", T.LongType()), T.StructField("__at", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, at)), pa.array(np.arange(seen, seen + b.num_rows))], names=[*b.schema.names, "__slice", "__at"])
+            seen += b.num_rows
+
+    rows = materialize(sliced(df, order, n_rows).mapInArrow(count, schema))
+    per = rows.groupBy("__slice").agg(F.count("*").alias("n"))
+    offset = per.select("__slice", F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    return rows.join(offset, "__slice").withColumn(name, F.col("__offset") + F.col("__at") + start).drop("__slice", "__at", "__offset")
