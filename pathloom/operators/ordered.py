@@ -72,7 +72,8 @@ def ordered_scan(
 
     ``kernel(arrays, own)`` gets successive rows and says what it finds for the rows marked in ``own``. Either ``halo``
     is given (a row is decided by at most so many rows on each side), or ``breaks`` (rows on two sides of a break never
-    belong together; everything between two breaks is decided together).
+    belong together; everything between two breaks is decided together). With ``breaks`` a kernel may also look at the
+    row before a break, to say how the first row after it was reached: unless the input starts there, it is shown.
 
     Empty input gives no rows. Slices too short to be cut are joined to their neighbours, so tiny and lopsided inputs
     give the same rows as one slice would.
@@ -112,7 +113,8 @@ def ordered_scan(
         own = np.ones(k, bool)
         own[:head] = own[k - tail :] = False
         yield wrap(to_batch(kernel(arrays, own), a_res), None, None, at, None)
-        for lo, hi, chain, mine in ((0, shown or head, 0, lambda i: i < head), (k - (shown or tail), k, 1, lambda i: i >= k - tail)):
+        # the row before the last break goes along unowned, so the first row after it is seen with its predecessor
+        for lo, hi, chain, mine in ((0, shown or head, 0, lambda i: i < head), (k - (shown or tail + 1), k, 1, lambda i: i >= k - tail)):
             yield wrap(None, table.slice(lo, hi - lo), mine(np.arange(lo, hi)), at, chain)
 
     first = sliced(df, order, n_rows, slice_rows).mapInArrow(scan, out)
@@ -123,8 +125,10 @@ def ordered_scan(
     def decide(table: pa.Table) -> pa.Table:
         # tables of one chain: rows of both sides of a border, with all slices between that couldn't be cut
         raw = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in table.column("raw").chunks], schema=a_raw) if table.num_rows else pa.Table.from_batches([], schema=a_raw)
-        raw = raw.append_column("__own", table.column("own")).sort_by([(c, "ascending") for c in order])
-        own = raw.column("__own").to_numpy()
+        # with breaks, an unowned row stands before all others, also before one of equal order
+        keys = order if breaks is None else [*order, "__own"]
+        raw = raw.append_column("__own", table.column("own").cast(pa.int8())).sort_by([(c, "ascending") for c in keys])
+        own = raw.column("__own").to_numpy().astype(bool)
         return pa.Table.from_batches([to_batch(kernel(to_arrays(raw.drop_columns("__own")), own), a_res)], schema=a_res)
 
     # A slice that was cut separates the border before it from the one after it; the number of such slices so far

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.geo import EARTH_M, haversine_m, np_haversine_m
 from ..session import materialize, small
-from .ordered import Arrays, ordered_scan
+from .ordered import SLICE_ROWS, Arrays, ordered_scan
 from .readings import FIX_ORDER, ReadingRules, fixes_of, implausible_readings
 from .sessions import from_micros
 
@@ -160,7 +160,7 @@ def _cell(lat: str, lon: str, size: float):
     return F.floor(F.col(lon) * F.cos(F.radians(band)) / size).cast("long").alias("cx"), F.floor(F.col(lat) / size).cast("long").alias("cy")
 
 
-def stops_and_trips(gps: DataFrame, radius_m: float = 50.0, least_minutes: float = 10.0, silence_minutes: float = 60.0, n_rows: int | None = None) -> DataFrame:
+def stops_and_trips(gps: DataFrame, radius_m: float = 50.0, least_minutes: float = 10.0, silence_minutes: float = 60.0, n_rows: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Visits and trips: (subid, kind, start_id, end_id, start_time, end_time, duration_s, distance_m, n_fixes, place, to_place).
 
     ``gps`` holds fixes with plausible positions (see :func:`plausible_positions`). Kind ``stop``: a longest run of
@@ -172,13 +172,13 @@ def stops_and_trips(gps: DataFrame, radius_m: float = 50.0, least_minutes: float
     n_rows = gps.count() if n_rows is None else n_rows
     breaks, kernel = stop_kernel(radius_m, least_minutes * 60, silence_minutes * 60)
     fixes = fixes_of(gps.filter("lat IS NOT NULL AND lon IS NOT NULL"), "lat", "lon")
-    events = materialize(ordered_scan(fixes, FIX_ORDER, _EVENT, kernel, n_rows=n_rows, breaks=breaks))
+    events = materialize(ordered_scan(fixes, FIX_ORDER, _EVENT, kernel, n_rows=n_rows, breaks=breaks, slice_rows=slice_rows))
     stops = events.filter(F.col("code") == ARRIVAL)
     size = float(np.degrees(20.0 / EARTH_M))
     place = places(stops.select("subid", "lat", "lon", F.col("n").alias("weight")))
     visits = stops.withColumns(dict(zip(("cx", "cy"), _cell("lat", "lon", size), strict=True))).join(place, ["subid", "cx", "cy"]).select("subid", F.col("us").alias("start_us"), F.col("processed_id").alias("start_id"), "end_us", "end_id", "n", "place")
     visits = materialize(visits)
-    trips = ordered_scan(events.select("subid", "us", "processed_id", "code", "end_us", "n", "way_m"), ["subid", "us", "processed_id", "code"], _TRIP, _trip_kernel, n_rows=events.count(), breaks=_trip_breaks)
+    trips = ordered_scan(events.select("subid", "us", "processed_id", "code", "end_us", "n", "way_m"), ["subid", "us", "processed_id", "code"], _TRIP, _trip_kernel, n_rows=events.count(), breaks=_trip_breaks, slice_rows=slice_rows)
     left, right = visits.select("subid", F.col("end_id").alias("start_id"), "place"), visits.select("subid", F.col("start_id").alias("end_id"), F.col("place").alias("to_place"))
     trips = trips.join(left, ["subid", "start_id"]).join(right, ["subid", "end_id"])
     columns = ["subid", "kind", "start_id", "end_id", "start_us", "end_us", "n", "way_m", "place", "to_place"]
