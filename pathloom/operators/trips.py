@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,10 +140,10 @@ def places(stops: DataFrame, near_m: float = 50.0, cell_m: float = 20.0) -> Data
     cells = materialize(cells)
     span = int(np.ceil(near_m / cell_m))
     around = F.explode(F.sequence(F.lit(-span), F.lit(span)))
-    # cells keep their width in metres by latitude band, so neighbours differ by at most span (+1 where bands meet)
-    seen = cells.select("subid", "cx", "cy", "w", "lat", "lon").withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-span - 1), F.lit(span + 1))))
+    # columns are counted by the width of the row looked into, which may lie in another latitude band than the cell
+    seen = cells.select("subid", "cx", "cy", "w", "lat", "lon").withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-span - 1), F.lit(span + 1)))).withColumn("oy", F.col("cy") + F.col("dy"))
     other = cells.select("subid", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("w").alias("ow"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
-    edges = seen.withColumn("ox", F.col("cx") + F.col("dx")).withColumn("oy", F.col("cy") + F.col("dy")).join(other, ["subid", "ox", "oy"]).filter(haversine_m("lon", "lat", "olon", "olat") <= near_m)
+    edges = seen.withColumn("ox", _column("lon", "oy", size) + F.col("dx")).join(other, ["subid", "ox", "oy"]).filter(haversine_m("lon", "lat", "olon", "olat") <= near_m)
     points = materialize(edges.groupBy("subid", "cx", "cy").agg(F.max(F.struct("ow", "ox", "oy")).alias("top")).select("subid", "cx", "cy", F.col("top.ox").alias("px"), F.col("top.oy").alias("py")))
     while True:
         up = points.select("subid", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("px").alias("gx"), F.col("py").alias("gy"))
@@ -155,9 +155,15 @@ def places(stops: DataFrame, near_m: float = 50.0, cell_m: float = 20.0) -> Data
 
 
 def _cell(lat: str, lon: str, size: float):
-    """Cell of ``size`` degrees of latitude, as wide in metres; its width is fixed per band of 0.1 degrees."""
-    band = F.floor(F.col(lat) * 10) / 10
-    return F.floor(F.col(lon) * F.cos(F.radians(band)) / size).cast("long").alias("cx"), F.floor(F.col(lat) / size).cast("long").alias("cy")
+    """Cell of ``size`` degrees of latitude, as wide in metres; its width is fixed per row, by bands of 0.1 degrees."""
+    row = F.floor(F.col(lat) / size).cast("long")
+    return _column(lon, row, size).alias("cx"), row.alias("cy")
+
+
+def _column(lon: str, row: str | Column, size: float) -> Column:
+    """Column of a longitude in a row of cells; all of a row have the width of the band its lower edge lies in."""
+    band = F.floor((F.col(row) if isinstance(row, str) else row) * size * 10) / 10
+    return F.floor(F.col(lon) * F.cos(F.radians(band)) / size).cast("long")
 
 
 def stops_and_trips(gps: DataFrame, radius_m: float = 50.0, least_minutes: float = 10.0, silence_minutes: float = 60.0, n_rows: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
