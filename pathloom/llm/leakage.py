@@ -37,7 +37,6 @@ class LeakRules:
     share: float = 0.5  #: part of the item's words a document must hold, rounded down to whole words
     shingle: int = 3  #: words in a shingle; short, as words change within passages
     overlap: float = 0.12  #: part of the item's shingles that must be left intact
-    least_passage: int = 5  #: matched words that make a passage
 
 
 def words_of(text: str | None) -> list[str]:
@@ -135,8 +134,8 @@ def _local(a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
     return best
 
 
-def passages(item: list[int], doc: np.ndarray, at: np.ndarray, rules: LeakRules) -> list[tuple[int, int, int, int, int]]:
-    """Aligned passages of an item around positions ``at`` of a text, in the text's positions."""
+def passages(item: list[int], doc: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Aligned passages of an item around positions ``at`` of a text, in the text's positions; also of a word."""
     m = len(item)
     at = np.unique(at)
     cut = np.flatnonzero(np.diff(at) > m) + 1
@@ -146,10 +145,10 @@ def passages(item: list[int], doc: np.ndarray, at: np.ndarray, rules: LeakRules)
         todo = [(0, m, lo, hi)]
         while todo:
             i0, i1, k0, k1 = todo.pop()
-            if i1 - i0 < rules.least_passage or k1 - k0 < rules.least_passage:
+            if i0 >= i1 or k0 >= k1:
                 continue
             n, a0, a1, b0, b1 = _local(item[i0:i1], doc[k0:k1].tolist())
-            if n < rules.least_passage:
+            if not n:
                 continue
             p = (n, i0 + a0, i0 + a1, k0 + b0, k0 + b1)
             found.append(p)
@@ -244,9 +243,7 @@ def _block(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
                 # windows of a pair needn't be apart: this only lets more through
                 if in_window[first] + max(in_window) >= need and len(np.unique(j)) >= need:
                     keep.append(r)
-                    # positions with no other hit of this item near are chance
-                    near = np.array(in_window) + [len(np.unique(j[max(0, s) : i2 + 1])) for i2, s in enumerate(np.searchsorted(pos, pos - 2 * m).tolist())] >= 3
-                    kept_at.append(pos[near].tolist())
+                    kept_at.append(pos.tolist())
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(kept_at, pa.list_(pa.int32()))], names=["d", "item", "at"])
 
@@ -263,7 +260,7 @@ def _block(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text:
                 doc = ix.ids(words_of(t))
                 for x in c:
                     item = ix.items[x["item"]]
-                    held = held_words(passages(item, doc, np.array(x["at"]), rules))
+                    held = held_words(passages(item, doc, np.array(x["at"])))
                     if held >= int(rules.share * len(item)):
                         out.append((d, ix.keys[x["item"]], held, len(item)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, names=[doc_key, item_key, "held", "words"]) if out else pa.RecordBatch.from_pydict({doc_key: b.column("d").slice(0, 0), item_key: pa.array(ix.keys[:1]).slice(0, 0), "held": pa.array([], pa.int64()), "words": pa.array([], pa.int64())})

@@ -1,0 +1,22 @@
+"""A second passage counts whatever its length."""
+
+from pathloom.llm.leakage import leaked_items
+
+ITEM = [f"w{chr(97 + i)}" for i in range(26)] + ["wza"]  # 27 words, 13 are half
+FILL = [f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+
+
+def text(*parts):
+    return " ".join(w for p in parts for w in p)
+
+
+def test_small_second_passages(spark):
+    docs = {
+        1: text(ITEM[:10], FILL, ITEM[20:24]),  # 10 and 4 words
+        2: text(ITEM[:8], FILL, [*ITEM[18:20], "changed", *ITEM[21:24]]),  # 8 and 5 words, one shingle whole in the second
+        3: text(ITEM[20:24], FILL, ITEM[:10]),  # not in the item's order
+        4: text(ITEM[:12], FILL),  # a word short
+        5: text(FILL, ITEM[7:20]),
+    }
+    got = leaked_items(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(7, text(ITEM))], "item_id long, text string"))
+    assert {r["doc_id"]: (r["held"], r["words"]) for r in got.collect()} == {1: (14, 27), 2: (13, 27), 5: (13, 27)}
