@@ -18,8 +18,8 @@ CAPACITY = 2048
 STATES = ["stationary", "transition"]
 
 
-def _state_runs(spark, d):
-    return repeated_runs(table(spark, d, "processed_gps"), "subid", "time", "processed_id", "movement_state", lambda c: read_states(c, STATES), least=5)
+def _state_runs(spark, d, **how):
+    return repeated_runs(table(spark, d, "processed_gps"), "subid", "time", "processed_id", "movement_state", lambda c: read_states(c, STATES), least=5, **how)
 
 
 _RUNS = """
@@ -39,6 +39,12 @@ def p6_runs(spark, d):
     return _state_runs(spark, d).select("subid", "state", "start_time", "end_time", "duration_s", "n_events")
 
 
+@R.query("p6_near")
+def p6_near(spark, d):
+    # a boundary costs as much as a deviating event, so single events that deviate within a run are absorbed
+    return _state_runs(spark, d, penalty=1.0).select("subid", "state", "start_id", "end_id", "duration_s", "n_events", "n_other")
+
+
 @R.query("p8_packing")
 def p8_packing(spark, d):
     return pack(token_counts(table(spark, d, "documents"), "doc_id"), "doc_id", "n_tokens", CAPACITY)

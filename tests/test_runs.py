@@ -1,0 +1,40 @@
+"""Runs of near-identical events against all segmentations."""
+
+from itertools import product
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from pathloom.llm.runs import segment
+
+
+def cost(states, weight, apart, cuts, penalty):
+    seg = np.cumsum(np.r_[True, cuts]) - 1
+    total = 0.0
+    for g in range(seg[-1] + 1):
+        of = seg == g
+        total += weight[of].sum() - max(weight[of & (states == s)].sum() for s in set(states[of]))
+    return total + penalty * (np.array(cuts, bool) & ~apart[1:]).sum()
+
+
+@pytest.mark.parametrize("penalty", [0.4, 0.7, 1.0, 2.5])
+def test_segments_are_the_cheapest(penalty):
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n = int(rng.integers(2, 9))
+        states = np.array([str(s) for s in np.cumsum(rng.integers(1, 3, n)) % 3], object)
+        weight, apart = rng.integers(1, 5, n), np.r_[True, rng.random(n - 1) < 0.15]
+        best = min(cost(states, weight, apart, c, penalty) for c in product([False, True], repeat=n - 1) if not (apart[1:] & ~np.array(c, bool)).any())
+        seg = segment(states, weight, apart, penalty)
+        cuts = np.diff(seg) > 0
+        assert (cuts | ~apart[1:]).all()
+        assert cost(states, weight, apart, cuts, penalty) == pytest.approx(best)
+
+
+def test_a_registered_query_absorbs_single_events(spark, tmp_path):
+    states = ["s"] * 6 + ["t"] + ["s"] * 5 + ["t"] * 7
+    rows = spark.createDataFrame([(1, i, f"2024-01-01 00:{i:02d}:00", {"s": "stationary", "t": "transition"}[s]) for i, s in enumerate(states)], "subid smallint, processed_id long, t string, movement_state string")
+    rows.selectExpr("subid", "processed_id", "cast(t AS timestamp_ntz) AS time", "movement_state").write.parquet(f"{tmp_path}/processed_gps.parquet")
+    got = entry.queries()["p6_near"](spark, str(tmp_path)).collect()
+    assert sorted((r["state"], r["start_id"], r["end_id"], r["n_events"], r["n_other"]) for r in got) == [("stationary", 0, 11, 12, 1), ("transition", 12, 18, 7, 0)]
