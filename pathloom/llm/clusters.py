@@ -1,11 +1,11 @@
-"""Similarity clusters of fixes per subject by Gaussian mixtures.
+"""Similarity clusters of fixes per subject, set off by distance, with Gaussian mixtures for their typical fixes.
 
 Fixes are pooled to distinct positions and these are cut into tiles with a margin, so that a subject with a third of all
 rows, or a place with a third of a subject's, is a bounded number of positions in bounded tiles. In a tile positions are
-summarised in small cells; cells near each other form neighbourhoods, and a weighted mixture with regularised covariance
-is fitted to each neighbourhood by expectation-maximisation on standardised coordinates, one component per local peak.
-Components that an information criterion doesn't keep apart, or that lie within the separation distance, are one
-cluster; the exact check of diameter and separation follows. The fixes of highest density stand for the cluster.
+summarised in small cells; cells within the separation distance of each other form neighbourhoods. A neighbourhood is a
+cluster if it passes the exact check of size, diameter and separation: this alone decides the members. A weighted mixture
+with regularised covariance is fitted to each neighbourhood by expectation-maximisation on standardised coordinates, one
+component per local peak; it gives the number of components and, by its density, the fixes that stand for the cluster.
 """
 
 from __future__ import annotations
