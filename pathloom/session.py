@@ -6,9 +6,12 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and stays under this many rows.
-BROADCAST_ROWS = 2_000_000
+#: A side of a few bytes a row is broadcast only when it was counted and stays under this many rows.
+BROADCAST_ROWS = 500_000
+#: Other sides are broadcast up to this measured size; beyond it their rows are repeated for SALT parts of the other side.
+BROADCAST_BYTES, SALT = 32 << 20, 16
 
 
 def build_session(app: str = "pathloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,5 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; counting stops soon after the limit."""
-    return df.limit(limit + 1).count() <= limit
+    """True when ``df`` has at most ``limit`` rows, by a distributed count; ``df`` should be materialized."""
+    return df.count() <= limit
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], spread: str, width: int = 64, how: str = "inner") -> DataFrame:
+    """Equi-join of many rows with a table that is sent to all tasks only if its measured size allows it.
+
+    The size is the table's number of rows times ``width``, a row's bytes at most. A table that is too big is repeated ``SALT`` times and rows
+    are spread over its copies by a hash of the column ``spread``, so that a key with a third of all rows is in many tasks.
+    """
+    table = materialize(table)
+    if table.count() * width <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), on, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
+    return salted.join(table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*on, "__salt"], how).drop("__salt")
