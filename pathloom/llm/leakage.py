@@ -1,9 +1,13 @@
 """Passages of evaluation items inside a corpus.
 
-A prefix-filtered set join on word shingles: shingles of the items are ordered by rarity in the corpus; a document that
+A prefix-filtered set join on word shingles. Shingles of each item are ordered by rarity in the corpus; a document that
 holds enough of an item must hold one of the item's rarest shingles, as many as the needed overlap leaves (its prefix).
-Candidates that share a prefix shingle pass length and position bounds: enough of the item's shingles must stand in one
-or two windows of about the item's size. What is left is verified by aligning the item with these windows word by word.
+Only prefix shingles are joined; candidates must then pass the length bound, hold enough of the item's shingles, and
+hold them in one or two windows of about the item's size. What is left is verified by aligning the item's words with
+these windows.
+
+Texts are folded and cut into words as arrays of code points; a word is a 64-bit hash, a shingle a hash of these. Of the
+items every task gets only a bitmap of fixed size; items, rarities and candidates stay tables.
 """
 
 from __future__ import annotations
@@ -15,144 +19,185 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, small
+from ..session import lookup_join, materialize
+from .spans import _mix, _Powers
 
-#: Items matched in one pass over the corpus; more are taken in blocks.
-ITEM_BLOCK = 20_000
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|table|h[1-6]|hr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
-_WORD = re.compile(r"[^\W_]+")
+_BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 #: Code points without width, taken out of words.
-_NO_WIDTH = {0x00AD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None}
+_NO_WIDTH = {0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
+#: Characters folded at once, code points folded in advance, bits (as a power of two) of the shingle bitmap.
+CHUNK, EAGER, BITMAP = 1 << 20, 0x3000, 24
+_A = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 @dataclass(frozen=True)
 class LeakRules:
-    share: float = 0.5  #: part of the item's words a document must hold, rounded down to whole words
+    share: float = 0.5  #: part of the item's words a document must hold
     shingle: int = 3  #: words in a shingle; short, as words change within passages
     overlap: float = 0.12  #: part of the item's shingles that must be left intact
+    least_words: int = 9  #: half of a shorter item, in two passages, may hold no shingle: such items are joined on words
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words whatever the letter case, punctuation, mark-up, line breaks and Unicode forms."""
-    if not text:
-        return []
+def plain(text: str) -> str:
+    """Text without mark-up, and with words broken at line ends put together."""
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if "&" in text:
         text = html.unescape(text)
-    if "-\n" in text or "-\r" in text or "- " in text and "\n" in text:
-        text = _BROKEN.sub("", text)
-    if text.isascii():
-        return _WORD.findall(text.lower())
-    text = unicodedata.normalize("NFKD", text.translate(_NO_WIDTH)).casefold()
-    return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text)
-
-
-@dataclass
-class _Index:
-    """Items of a block: words, and their shingles by code."""
-
-    vocab: dict[str, int]
-    items: list[list[int]]
-    keys: list
-    codes: np.ndarray  # sorted packed shingles
-    k: int
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, -1) for w in words], np.int64)
-
-    def pack(self, ids: np.ndarray) -> np.ndarray:
-        """Packed shingle at each position; -1 where a word is in no item."""
-        n = len(ids) - self.k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(self.k):
-            w = ids[i : i + n]
-            known &= w >= 0
-            code = (code * 1_000_003 + w + 1) & 0x7FFFFFFFFFFFFFFF
-        return np.where(known, code, -1)
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shingle number, position) of the items' shingles in a text."""
-        p = self.pack(ids)
-        at = np.flatnonzero(p >= 0)
-        i = np.minimum(np.searchsorted(self.codes, p[at]), len(self.codes) - 1)
-        hit = self.codes[i] == p[at]
-        return i[hit], at[hit]
-
-
-def _index(rows: list[tuple], k: int) -> _Index:
-    vocab: dict[str, int] = {}
-    keys, items = [], []
-    for key, text in rows:
-        w = words_of(text)
-        if w:
-            keys.append(key)
-            items.append([vocab.setdefault(x, len(vocab)) for x in w])
-    ix = _Index(vocab, items, keys, np.zeros(0, np.int64), k)
-    packed = [ix.pack(np.array(x)) for x in items]
-    ix.codes = np.unique(np.concatenate(packed)) if packed else ix.codes
-    return ix
-
-
-def _local(a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
-    """Best local alignment of two word lists: (matched words, a from, a to, b from, b to), ends exclusive."""
-    n = len(b)
-    score = [0] * (n + 1)
-    start = [(0, 0, 0)] * (n + 1)  # (matched, a from, b from) of the alignment that ends in the cell
-    best, top = (0, 0, 0, 0, 0), 0
-    for i, x in enumerate(a):
-        diag, dstart = 0, (0, i, 0)
-        left, lstart = 0, (0, i + 1, 0)
-        for j in range(1, n + 1):
-            up, ustart = score[j], start[j]
-            if x == b[j - 1]:
-                s = diag + 2
-                st = (dstart[0] + 1, dstart[1], dstart[2]) if diag else (1, i, j - 1)
-            else:
-                s, st = diag - 1, dstart
-            if up - 1 > s:
-                s, st = up - 1, ustart
-            if left - 1 > s:
-                s, st = left - 1, lstart
-            if s <= 0:
-                s, st = 0, (0, i + 1, j)
-            diag, dstart = up, ustart
-            score[j], start[j] = s, st
-            left, lstart = s, st
-            if s > top:
-                top, best = s, (st[0], st[1], i + 1, st[2], j)
-    return best
+    return _BROKEN.sub("", text) if "-" in text and "\n" in text else text
+
+
+class Folding:
+    """Words whatever the letter case, punctuation, mark-up, line breaks and Unicode forms, as 64-bit hashes.
+
+    Every code point is folded for itself (compatibility decomposition, case folding, marks taken off): to one code
+    point, to none, to several, or to a separator if it is neither letter nor digit.
+    """
+
+    def __init__(self) -> None:
+        self.value = np.zeros(0x110000, np.uint64)  # 0: separator
+        self.special = np.zeros(0x110000, np.uint8)  # 1: vanishes, 2: several
+        self.several: dict[int, list[int]] = {}
+        self.late = np.zeros(0x110000, bool)
+        self.late[EAGER:] = True
+        self.powers = _Powers()
+        self.learn(range(EAGER))
+
+    def learn(self, points) -> None:
+        points = list(points)
+        mixed = _mix(np.array(points, np.uint32))
+        for p, m in zip(points, mixed, strict=True):
+            self.late[p] = False
+            to = [] if p in _NO_WIDTH else [c for c in unicodedata.normalize("NFKD", chr(p)).casefold() if not unicodedata.combining(c)]
+            if not to:
+                self.special[p] = 1
+            elif len(to) > 1:
+                self.special[p] = 2
+                self.several[p] = [ord(c) for c in to]
+                self.learn(q for q in self.several[p] if self.late[q])
+            elif to[0].isalnum():
+                self.value[p] = m if ord(to[0]) == p else _mix(np.array([ord(to[0])], np.uint32))[0]
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, offsets: words of text i are offsets[i]..offsets[i+1])."""
+        joined = "\n".join(texts)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        if joined.isascii():
+            points = np.frombuffer(joined.encode(), np.uint8)
+        else:
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            new = np.flatnonzero(self.late[points])
+            if len(new):
+                self.learn(np.unique(points[new]).tolist())
+            special = self.special[points]
+            if special.any():
+                times = np.ones(len(points), np.int64)
+                times[special == 1] = 0
+                at = np.flatnonzero(special == 2)
+                wide = [self.several[int(p)] for p in points[at]]
+                times[at] = [len(w) for w in wide]
+                to = np.r_[0, np.cumsum(times)]
+                points = np.repeat(points, times)
+                for k, w in zip(to[at].tolist(), wide, strict=True):
+                    points[k : k + len(w)] = w
+                ends = to[np.minimum(ends, len(to) - 1)]
+        v = self.value[points]
+        word = v != 0
+        start = np.flatnonzero(word & ~np.r_[False, word[:-1]]) if len(word) else np.zeros(0, np.int64)
+        if not len(start):
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        up, down = self.powers.to(len(v) + 1)
+        h = np.add.reduceat(v * up[: len(v)], start) * down[start]
+        return h ^ (h >> np.uint64(29)), np.r_[0, np.searchsorted(start, ends)]
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position on (0 at the last k - 1 positions)."""
+    out = np.zeros(len(h), np.uint64)
+    n = len(h) - k + 1
+    if n > 0:
+        s = h[:n].copy()
+        for i in range(1, k):
+            s = (s ^ (s >> np.uint64(31))) * _A + h[i : i + n]
+        out[:n] = (s ^ (s >> np.uint64(30))) * _A
+    return out
+
+
+def single(h: np.ndarray) -> np.ndarray:
+    """Hash of a word as a shingle of its own, apart from those of several words."""
+    return (h + np.uint64(0x632BE59BD9B4E019)) * _A
+
 
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK`` characters."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= CHUNK:
+            yield lo, i + 1
+            lo, n = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
-def passages(item: list[int], doc: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Aligned passages of an item around positions ``at`` of a text, in the text's positions; also of a word."""
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Best local alignment of two word lists: (matched words, a from, a to, b from, b to), ends exclusive.
+
+    A match earns 2, a changed, added or missing word costs 1. Rows of the table are computed at once: gaps along a row
+    are a running maximum.
+    """
+    n = len(b)
+    score = np.zeros((len(a) + 1, n + 1), np.int32)
+    step = np.arange(n, dtype=np.int32)
+    for i, x in enumerate(a):
+        up = score[i]
+        t = np.maximum(up[:-1] + np.where(b == x, 2, -1), up[1:] - 1)
+        score[i + 1, 1:] = np.maximum.accumulate(np.maximum(t, 0) + step) - step
+    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    if not score[i, j]:
+        return 0, 0, 0, 0, 0
+    a1, b1, matched = int(i), int(j), 0
+    while score[i, j]:
+        s = score[i, j]
+        same = a[i - 1] == b[j - 1]
+        if s == score[i - 1, j - 1] + (2 if same else -1):
+            matched += bool(same)
+            i, j = i - 1, j - 1
+        elif s == score[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return matched, int(i), a1, int(j), b1
+
+
+def passages(item: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Aligned passages of an item around positions ``at`` of a text, in the text's positions; also of a word.
+
+    Around every group of positions: the best passage, the best before it and the best after it, in the item's order.
+    """
     m = len(item)
     at = np.unique(at)
-    cut = np.flatnonzero(np.diff(at) > m) + 1
     found = []
-    for part in np.split(at, cut):
+    for part in np.split(at, np.flatnonzero(np.diff(at) > m) + 1):
         lo, hi = max(0, int(part[0]) - m), min(len(doc), int(part[-1]) + m)
+        top = None
         todo = [(0, m, lo, hi)]
-        while todo:
-            i0, i1, k0, k1 = todo.pop()
+        for i0, i1, k0, k1 in todo:
             if i0 >= i1 or k0 >= k1:
                 continue
-            n, a0, a1, b0, b1 = _local(item[i0:i1], doc[k0:k1].tolist())
+            n, a0, a1, b0, b1 = align(item[i0:i1], doc[k0:k1])
             if not n:
                 continue
-            p = (n, i0 + a0, i0 + a1, k0 + b0, k0 + b1)
-            found.append(p)
-            todo += [(i0, p[1], k0, p[3]), (p[2], i1, p[4], k1)]
+            found.append((n, i0 + a0, i0 + a1, k0 + b0, k0 + b1))
+            if top is None:
+                top = found[-1]
+                todo += [(0, top[1], lo, top[3]), (top[2], m, top[4], hi)]
     return found
 
 
@@ -170,104 +215,115 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     """(doc_key, item_key, held, words): documents with at least ``rules.share`` of an item's words, in the item's order.
 
     ``held`` is the number of words found in one or two connected passages, ``words`` the item's number of words. Null
-    or wordless texts hold nothing and leak nowhere; items shorter than a shingle are too short to be found and are left
-    out. Repeated items come out once per key. Empty tables give no rows. Items are matched in blocks of ``ITEM_BLOCK``
-    against all documents.
+    or wordless texts hold nothing and leak nowhere. Items of fewer than ``rules.least_words`` words, of which a half may
+    hold no shingle, are joined on single words. An item key with several texts comes out once a document, with the text
+    it holds most of. Equal rows count once. Null keys are left out. Empty tables give no rows.
     """
-    n = items.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
-        got = _block(docs, part, doc_key, item_key, text, rules)
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def _block(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, rules: LeakRules) -> DataFrame:
-    spark = docs.sparkSession
+    k, share, least = rules.shingle, rules.share, rules.least_words
     kind, ikind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    rows = items.filter(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).distinct().collect()
-    index = _index(sorted((r[0], r[1]) for r in rows), rules.shingle)
-    result = f"`{doc_key}` {kind}, `{item_key}` {ikind}, held long, words long"
-    if not len(index.codes):
-        return spark.createDataFrame([], result)
-    shared = spark.sparkContext.broadcast(index)
+
+    def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Folding()
+        for b in batches:
+            h, off = fold.words([plain(t) for t in b.column(2).to_pylist()])
+            words = [h[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
+            own = [np.unique((shingles(w, k)[: len(w) - k + 1] if len(w) >= least else single(w)).view(np.int64)) for w in words]
+            n = [len(w) for w in words]
+            # what a holding document has at least: of all shingles a share, of single words all but the missing half
+            need = [max(1, int(np.ceil(rules.overlap * len(o))) if m >= least else len(o) - int((1 - share) * m)) for o, m in zip(own, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(need, pa.int32()), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], names=["u", "item", "n", "need", "words", "own"])
+
+    texts = items.filter(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(item_key, text).alias("u"), F.col(item_key).alias("item"), F.col(text).alias("t")).dropDuplicates(["u"])
+    wanted = materialize(texts.mapInArrow(item_words, f"u long, item {ikind}, n int, need int, words array<long>, own array<long>").filter("n > 0"))
+    each = wanted.select("u", "n", "need", F.size("own").alias("size"), F.explode("own").alias("sh"))
+
+    # a bitmap of all shingles: at most 2**BITMAP bits, whatever the number of items
+    word = F.shiftrightunsigned("sh", 64 - BITMAP + 6).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sh, {64 - BITMAP}) & 63 AS int))").alias("bit")
+    rows = each.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    packed = np.zeros(1 << (BITMAP - 6), np.int64)
+    for r in rows:
+        packed[r["word"]] = r["bits"]
+    singles = bool(wanted.filter(F.col("n") < least).limit(1).count())
+    shared = docs.sparkSession.sparkContext.broadcast((np.unpackbits(packed.view(np.uint8), bitorder="little").tobytes(), singles))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        bits, also_single = np.frombuffer(shared.value[0], bool), shared.value[1]
+        fold, shift = Folding(), np.uint64(64 - BITMAP)
         for b in batches:
-            ds, cs, ps = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c, p = ix.find(ix.ids(words_of(t)))
-                if len(c):
-                    ds += [d] * len(c)
-                    cs.append(c)
-                    ps.append(p)
-            if cs:
-                yield pa.RecordBatch.from_arrays([pa.array(ds), pa.array(np.concatenate(cs), pa.int32()), pa.array(np.concatenate(ps), pa.int32())], names=["d", "code", "pos"])
-
-    hits = materialize(docs.filter(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(doc_key, text).mapInArrow(find, f"d {kind}, code int, pos int"))
-    # one row per shingle of the block's items
-    seen = {r["code"]: r["n"] for r in hits.select("d", "code").distinct().groupBy("code").agg(F.count("*").alias("n")).collect()}
-    table = []
-    for i, item in enumerate(index.items):
-        codes, pos = index.find(np.array(item))
-        if not len(codes):
-            continue
-        own = np.unique(codes)
-        need = needed(len(own), rules)
-        rare = sorted(own.tolist(), key=lambda c: (seen.get(c, 0), c))
-        prefix = set(rare[: len(own) - need + 1])
-        table += [(i, c, j, c in prefix) for c, j in zip(codes.tolist(), pos.tolist(), strict=True)]
-    if not table:
-        return spark.createDataFrame([], result)
-    shingles = spark.createDataFrame(pd.DataFrame(table, columns=["item", "code", "j", "rare"]), "item int, code int, j int, rare boolean")
-    pairs = hits.join(F.broadcast(shingles), "code").groupBy("d", "item").agg(F.max("rare").alias("rare"), F.collect_list(F.struct("pos", "j")).alias("at")).filter("rare").select("d", "item", "at")
+            keys, every = b.column(0), [plain(t) for t in b.column(1).to_pylist()]
+            for lo, hi in chunks(every):
+                h, off = fold.words(every[lo:hi])
+                kinds = [shingles(h, k), *([single(h)] if also_single else [])]
+                if len(h):  # no shingle goes over the end of a text
+                    for i in range(1, k):
+                        kinds[0][np.maximum(off[1:] - i, 0)[off[1:] - i >= off[:-1]]] = 0
+                hit = [np.flatnonzero(bits[s >> shift]) for s in kinds]
+                pos, sh = np.concatenate(hit), np.concatenate([s[p] for s, p in zip(kinds, hit, strict=True)])
+                order = np.argsort(pos, kind="stable")
+                pos, sh = pos[order], sh[order]
+                cut = np.searchsorted(pos, off)
+                some = np.flatnonzero(cut[1:] > cut[:-1])
+                if not len(some):
+                    continue
+                pos = pos - np.repeat(off[:-1], np.diff(cut))
+                o = pa.array(np.r_[cut[some], len(pos)], pa.int32())
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo).take(pa.array(some)), pa.array(np.diff(off)[some], pa.int32()), pa.ListArray.from_arrays(o, pa.array(sh.view(np.int64))), pa.ListArray.from_arrays(o, pa.array(pos.astype(np.int32)))], names=["d", "dn", "sh", "pos"])
+
+    hits = materialize(docs.filter(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(doc_key, text).mapInArrow(find, f"d {kind}, dn int, sh array<long>, pos array<int>"))
+    held = hits.select("d", "dn", F.explode(F.array_distinct("sh")).alias("sh"))
+    rarity = held.groupBy("sh").agg(F.count("*").alias("docs"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.coalesce("docs", F.lit(0)), "sh"))
+    prefix = each.join(rarity, "sh", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.col("need") + 1).filter("docs IS NOT NULL").select("sh", "u", "n")
+    candidates = lookup_join(held, prefix, ["sh"], spread="d").filter(F.col("dn") >= F.col("n") * share).select("d", "u").distinct()
+    pairs = lookup_join(candidates.join(hits, "d"), wanted, ["u"], spread="d").filter(F.size(F.array_intersect("sh", "own")) >= F.col("need"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps pairs with enough shingles of the item in the best two windows of its size."""
-        ix = shared.value
         for b in batches:
             keep, kept_at = [], []
-            for r, (i, at) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                pos = np.array([x["pos"] for x in at])
-                j = np.array([x["j"] for x in at])
-                m = len(ix.items[i])
-                need = needed(len(np.unique(ix.pack(np.array(ix.items[i])))), rules)
-                order = np.argsort(pos, kind="stable")
-                pos, j = pos[order], j[order]
-                end = np.searchsorted(pos, pos + 2 * m)
-                in_window = [len(np.unique(j[s:e])) for s, e in enumerate(end.tolist())]
-                first = int(np.argmax(in_window))
+            for r in range(b.num_rows):
+                sh, own, p = (b.column(c)[r].values.to_numpy() for c in ("sh", "own", "pos"))
+                j = np.minimum(np.searchsorted(own, sh), len(own) - 1)
+                ok = own[j] == sh
+                pos, j = p[ok], j[ok]
+                end = np.searchsorted(pos, pos + 2 * b.column("n")[r].as_py())
+                need = b.column("need")[r].as_py()
+                in_window = [len(set(j[s:e].tolist())) for s, e in enumerate(end.tolist())]
                 # windows of a pair needn't be apart: this only lets more through
-                if in_window[first] + max(in_window) >= need and len(np.unique(j)) >= need:
+                if 2 * max(in_window) >= need:
                     keep.append(r)
-                    kept_at.append(pos.tolist())
+                    kept_at.append(pos)
             if keep:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(kept_at, pa.list_(pa.int32()))], names=["d", "item", "at"])
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("d", "u", "item", "words")), pa.array(kept_at, pa.list_(pa.int32()))], names=["d", "u", "item", "words", "at"])
 
-    some = pairs.mapInArrow(bound, f"d {kind}, item int, at array<int>").filter("size(at) > 0")
-    some = materialize(some.groupBy("d").agg(F.collect_list(F.struct("item", "at")).alias("c")))
-    texts = docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL")
-    both = texts.join(F.broadcast(some) if small(some, 200_000) else some, "d")
+    some = pairs.select("d", "u", "item", "n", "need", "words", "own", "sh", "pos").mapInArrow(bound, f"d {kind}, u long, item {ikind}, words array<long>, at array<int>")
+    # a document's candidates go in lots of 64 with its text
+    lot = F.floor((F.row_number().over(Window.partitionBy("d").orderBy("u")) - 1) / 64)
+    lots = materialize(some.withColumn("lot", lot).groupBy("d", "lot").agg(F.collect_list(F.struct("item", "words", "at")).alias("c")))
+    both = lookup_join(docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL"), lots, ["d"], spread="t", width=4096)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        fold = Folding()
+        item_type = None
         for b in batches:
-            out = []
-            for d, t, c in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("c").to_pylist(), strict=True):
-                doc = ix.ids(words_of(t))
-                for x in c:
-                    item = ix.items[x["item"]]
-                    held = held_words(passages(item, doc, np.array(x["at"])))
-                    if held >= int(rules.share * len(item)):
-                        out.append((d, ix.keys[x["item"]], held, len(item)))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, names=[doc_key, item_key, "held", "words"]) if out else pa.RecordBatch.from_pydict({doc_key: b.column("d").slice(0, 0), item_key: pa.array(ix.keys[:1]).slice(0, 0), "held": pa.array([], pa.int64()), "words": pa.array([], pa.int64())})
-
-    return both.select("d", "t", "c").mapInArrow(verify, result).groupBy(doc_key, item_key).agg(F.max("held").alias("held"), F.max("words").alias("words"))
-
-
-def needed(shingles: int, rules: LeakRules) -> int:
-    """Intact shingles a holding document has at least."""
-    return max(1, int(np.ceil(rules.overlap * shingles)))
+            every = [plain(t) for t in b.column("t").to_pylist()]
+            for lo, hi in chunks(every):
+                h, off = fold.words(every[lo:hi])
+                h = h.view(np.int64)
+                rows = []
+                for r in range(lo, hi):
+                    doc, c = h[off[r - lo] : off[r - lo + 1]], b.column("c")[r].values
+                    item_type = c.field("item").type
+                    for i, (words, at) in enumerate(zip(c.field("words"), c.field("at"), strict=True)):
+                        item = words.values.to_numpy()
+                        n = held_words(passages(item, doc, at.values.to_numpy()))
+                        if n >= share * len(item):
+                            rows.append((r, c.field("item")[i].as_py(), n, len(item)))
+                if rows:
+                    r, i, n, m = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(r)), pa.array(i, item_type), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[doc_key, item_key, "held", "words"])
+
+    out = both.select("d", "t", "c").mapInArrow(verify, f"`{doc_key}` {kind}, `{item_key}` {ikind}, held long, words long")
+    return out.groupBy(doc_key, item_key).agg(F.max(F.struct("held", "words")).alias("m")).select(doc_key, item_key, "m.held", "m.words")
