@@ -26,3 +26,8 @@ class Registry:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def sql_haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    """Great-circle metres as SQL text."""
+    return f"(2 * 6378137.0 * asin(least(1, sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))"
