@@ -575,7 +575,7 @@ def r1(spark, d):
 
 @R.query("r2_pivot_wider", "SELECT subid, count(*) FILTER (WHERE lower(type) = 'home') AS home, count(*) FILTER (WHERE lower(type) = 'work') AS work, count(*) FILTER (WHERE lower(type) = 'bar') AS bar FROM locations GROUP BY subid")
 def r2(spark, d):
-    return table(spark, d, "locations").withColumn("kind", F.lower("type")).groupBy("subid").pivot("kind", ["home", "work", "bar"]).agg(F.count("*")).fillna(0)
+    return table(spark, d, "locations").withColumn("kind", F.lower("type")).groupBy("subid").pivot("kind", ["home", "work", "bar"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 @R.query("r3_separate", "SELECT name, regexp_extract(name, '^(.*)_[^_]*$', 1) AS left_part, regexp_extract(name, '_([^_]*)$', 1) AS right_part FROM (SELECT DISTINCT class || '_' || type AS name FROM osm_poi)")

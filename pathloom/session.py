@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a few bytes a row is broadcast only when it was counted and stays under this many rows.
@@ -46,14 +46,15 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.count() <= limit
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], spread: str, width: int = 64, how: str = "inner") -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], spread: str, width: int | Column = 64, how: str = "inner") -> DataFrame:
     """Equi-join of many rows with a table that is sent to all tasks only if its measured size allows it.
 
-    The size is the table's number of rows times ``width``, a row's bytes at most. A table that is too big is repeated ``SALT`` times and rows
+    The size is the sum of ``width``, a row's bytes at most, as a number or an expression. A table that is too big is repeated ``SALT`` times and rows
     are spread over its copies by a hash of the column ``spread``, so that a key with a third of all rows is in many tasks.
     """
     table = materialize(table)
-    if table.count() * width <= BROADCAST_BYTES:
+    width = F.lit(width) if isinstance(width, int) else width
+    if table.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), on, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
     return salted.join(table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*on, "__salt"], how).drop("__salt")
