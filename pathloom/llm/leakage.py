@@ -3,8 +3,8 @@
 A prefix-filtered set join on word shingles. Shingles of each item are ordered by rarity in the corpus; a document that
 holds enough of an item must hold one of the item's rarest shingles, as many as the needed overlap leaves (its prefix).
 Only prefix shingles are joined; candidates must then pass the length bound, hold enough of the item's shingles, and
-hold them in one or two windows of about the item's size. What is left is verified by aligning the item's words with
-these windows.
+hold them in one or two windows of about the item's size. What is left is verified in the text: enough
+of the item's words must stand in these windows in its order, and then in one or two passages by alignment.
 
 Texts are folded and cut into words as arrays of code points; a word is a 64-bit hash, a shingle a hash of these. Of the
 items every task gets only a bitmap of fixed size; items, rarities and candidates stay tables.
@@ -33,6 +33,8 @@ _BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _NO_WIDTH = {0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
 #: Characters folded at once, code points folded in advance, bits (as a power of two) of the shingle bitmap.
 CHUNK, EAGER, BITMAP = 1 << 20, 0x3000, 24
+#: Cells of alignment tables filled together.
+CELLS = 1 << 20
 _A = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -146,25 +148,48 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment of two word lists: (matched words, a from, a to, b from, b to), ends exclusive.
+Passage = tuple[int, int, int, int, int]
 
-    A match earns 2, a changed, added or missing word costs 1. Rows of the table are computed at once: gaps along a row
-    are a running maximum.
+
+def align_all(jobs: list[tuple[np.ndarray, np.ndarray]]) -> list[Passage]:
+    """Best local alignment of each pair of word lists: (matched words, a from, a to, b from, b to), ends exclusive.
+
+    A match earns 2, a changed, added or missing word costs 1. Pairs of similar size are filled together, a row of all
+    their tables at once: gaps along a row are a running maximum. What pads a list matches nothing and wins nothing.
     """
-    n = len(b)
-    score = np.zeros((len(a) + 1, n + 1), np.int32)
-    step = np.arange(n, dtype=np.int32)
-    for i, x in enumerate(a):
-        up = score[i]
-        t = np.maximum(up[:-1] + np.where(b == x, 2, -1), up[1:] - 1)
-        score[i + 1, 1:] = np.maximum.accumulate(np.maximum(t, 0) + step) - step
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    if not score[i, j]:
-        return 0, 0, 0, 0, 0
-    a1, b1, matched = int(i), int(j), 0
-    while score[i, j]:
-        s = score[i, j]
+    out: list[Passage] = [(0, 0, 0, 0, 0)] * len(jobs)
+    order = sorted((i for i, (a, b) in enumerate(jobs) if len(a) and len(b)), key=lambda i: (len(jobs[i][0]), len(jobs[i][1])))
+    while order:
+        m = len(jobs[order[-1]][0])
+        n, take = 0, 0
+        for k in range(1, len(order) + 1):
+            n = max(n, len(jobs[order[-k]][1]))
+            if k > 1 and k * (m + 1) * (n + 1) > CELLS:
+                break
+            take = k
+        lot, order = order[-take:], order[:-take]
+        n = max(len(jobs[i][1]) for i in lot)
+        a, b = np.zeros((take, m), np.int64), np.ones((take, n), np.int64)
+        for r, i in enumerate(lot):
+            a[r, : len(jobs[i][0])], b[r, : len(jobs[i][1])] = jobs[i]
+        kind = np.int16 if m < 16_000 and n < 16_000 else np.int32
+        score, step = np.zeros((m + 1, take, n + 1), kind), np.arange(n, dtype=kind)
+        for x in range(m):
+            up = score[x]
+            t = np.maximum(up[:, :-1] + np.where(b == a[:, x : x + 1], kind(2), kind(-1)), up[:, 1:] - kind(1))
+            np.maximum(t, 0, out=t)
+            t += step
+            np.maximum.accumulate(t, axis=1, out=t)
+            score[x + 1, :, 1:] = t - step
+        for r, i in enumerate(lot):
+            out[i] = _back(jobs[i][0], jobs[i][1], score[:, r])
+    return out
+
+
+def _back(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> Passage:
+    i, j = divmod(int(score.argmax()), score.shape[1])
+    a1, b1, matched = i, j, 0
+    while s := int(score[i, j]):
         same = a[i - 1] == b[j - 1]
         if s == score[i - 1, j - 1] + (2 if same else -1):
             matched += bool(same)
@@ -173,35 +198,75 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
             i -= 1
         else:
             j -= 1
-    return matched, int(i), a1, int(j), b1
+    return (matched, i, a1, j, b1) if matched else (0, 0, 0, 0, 0)
+
+
+def parts_of(at: np.ndarray, m: int, n: int) -> list[tuple[int, int]]:
+    """Windows around groups of positions, an item's length beyond them on both sides."""
+    return [(max(0, int(p[0]) - m), min(n, int(p[-1]) + m)) for p in np.split(at, np.flatnonzero(np.diff(at) > m) + 1)]
 
 
-def passages(item: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Aligned passages of an item around positions ``at`` of a text, in the text's positions; also of a word.
+def most_held(cases: list[tuple[Item, np.ndarray, np.ndarray]], share: float) -> list[int]:
+    """For each (item, text, positions) the most words of the item in one passage, or in two in the item's order.
 
-    Around every group of positions: the best passage, the best before it and the best after it, in the item's order.
+    In every window around positions: the best passage, the best before it and the best after it in the item's order,
+    also of a word. The latter are left out where they can't bring an item to its share.
     """
-    m = len(item)
-    at = np.unique(at)
-    found = []
-    for part in np.split(at, np.flatnonzero(np.diff(at) > m) + 1):
-        lo, hi = max(0, int(part[0]) - m), min(len(doc), int(part[-1]) + m)
-        top = None
-        todo = [(0, m, lo, hi)]
-        for i0, i1, k0, k1 in todo:
-            if i0 >= i1 or k0 >= k1:
-                continue
-            n, a0, a1, b0, b1 = align(item[i0:i1], doc[k0:k1])
-            if not n:
-                continue
-            found.append((n, i0 + a0, i0 + a1, k0 + b0, k0 + b1))
-            if top is None:
-                top = found[-1]
-                todo += [(0, top[1], lo, top[3]), (top[2], m, top[4], hi)]
-    return found
-
-
-def held_words(found: list[tuple[int, int, int, int, int]]) -> int:
+    places = [(c, lo, hi) for c, (item, doc, at) in enumerate(cases) for lo, hi in parts_of(at, len(item.words), len(doc))]
+    found: list[list[Passage]] = [[] for _ in cases]
+    first = align_all([(cases[c][0].words, cases[c][1][lo:hi]) for c, lo, hi in places])
+    tops = [0] * len(cases)
+    for (c, _, _), p in zip(places, first, strict=True):
+        tops[c] = max(tops[c], p[0])
+    more = []
+    for (c, lo, hi), (n, a0, a1, b0, b1) in zip(places, first, strict=True):
+        if not n:
+            continue
+        item, doc, _ = cases[c]
+        found[c].append((n, a0, a1, lo + b0, lo + b1))
+        m = len(item.words)
+        for i0, i1, k0, k1 in ((0, a0, lo, lo + b0), (a1, m, lo + b1, hi)):
+            if min(i1 - i0, k1 - k0) > 0 and tops[c] + min(i1 - i0, item.in_order(doc[k0:k1])) >= share * m:
+                more.append((c, i0, i1, k0, k1))
+    for (c, i0, _, k0, _), (n, a0, a1, b0, b1) in zip(more, align_all([(cases[c][0].words[i0:i1], cases[c][1][k0:k1]) for c, i0, i1, k0, k1 in more]), strict=True):
+        if n:
+            found[c].append((n, i0 + a0, i0 + a1, k0 + b0, k0 + b1))
+    return [held_words(f) for f in found]
+
+
+class Item:
+    """An item's words as the verification needs them."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.sorted, self.at = words, np.unique(words), {}
+        for i, w in enumerate(words.tolist()):
+            self.at[w] = self.at.get(w, 0) | 1 << i
+
+    def known(self, doc: np.ndarray) -> np.ndarray:
+        """Positions of a text that hold a word of the item."""
+        j = np.minimum(np.searchsorted(self.sorted, doc), len(self.sorted) - 1)
+        return np.flatnonzero(self.sorted[j] == doc)
+
+    def in_order(self, doc: np.ndarray) -> int:
+        """Length of the longest common subsequence with a text, by one big-integer step a word."""
+        full = (1 << len(self.words)) - 1
+        v = full
+        for w in doc[self.known(doc)].tolist():
+            u = v & self.at[w]
+            v = (v + u | v - u) & full
+        return len(self.words) - v.bit_count()
+
+    def can_hold(self, doc: np.ndarray, at: np.ndarray, least: float) -> bool:
+        """False only if no two passages around positions ``at`` can hold ``least`` words of the item in its order."""
+        parts = parts_of(at, len(self.words), len(doc))
+        known = self.known(doc)
+        n = np.searchsorted(known, [p[1] for p in parts]) - np.searchsorted(known, [p[0] for p in parts])
+        if np.sort(n)[-2:].sum() < least:
+            return False
+        return sum(sorted((self.in_order(doc[lo:hi]) for lo, hi in parts), reverse=True)[:2]) >= least
+
+
+def held_words(found: list[Passage]) -> int:
     """Most words of an item in one passage, or in two that stand in the item's order."""
     best = max((p[0] for p in found), default=0)
     for p in found:
@@ -276,7 +341,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.coalesce("docs", F.lit(0)), "sh"))
     prefix = each.join(rarity, "sh", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.col("need") + 1).filter("docs IS NOT NULL").select("sh", "u", "n")
     candidates = lookup_join(held, prefix, ["sh"], spread="d").filter(F.col("dn") >= F.col("n") * share).select("d", "u").distinct()
-    pairs = lookup_join(candidates.join(hits, "d"), wanted, ["u"], spread="d").filter(F.size(F.array_intersect("sh", "own")) >= F.col("need"))
+    pairs = lookup_join(candidates.join(hits, "d"), wanted, ["u"], spread="d", width=64 + 8 * (F.size("words") + F.size("own"))).filter(F.size(F.array_intersect("sh", "own")) >= F.col("need"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps pairs with enough shingles of the item in the best two windows of its size."""
@@ -302,25 +367,29 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     # a document's candidates go in lots of 64 with its text
     lot = F.floor((F.row_number().over(Window.partitionBy("d").orderBy("u")) - 1) / 64)
     lots = materialize(some.withColumn("lot", lot).groupBy("d", "lot").agg(F.collect_list(F.struct("item", "words", "at")).alias("c")))
-    both = lookup_join(docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL"), lots, ["d"], spread="t", width=4096)
+    both = lookup_join(docs.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).filter("t IS NOT NULL"), lots, ["d"], spread="t", width=F.lit(64) + F.aggregate("c", F.lit(0), lambda n, x: n + 32 + 8 * F.size(x["words"]) + 4 * F.size(x["at"])))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = Folding()
-        item_type = None
+        known: dict[bytes, Item] = {}
         for b in batches:
             every = [plain(t) for t in b.column("t").to_pylist()]
             for lo, hi in chunks(every):
                 h, off = fold.words(every[lo:hi])
                 h = h.view(np.int64)
-                rows = []
+                cases, whose = [], []
                 for r in range(lo, hi):
                     doc, c = h[off[r - lo] : off[r - lo + 1]], b.column("c")[r].values
                     item_type = c.field("item").type
                     for i, (words, at) in enumerate(zip(c.field("words"), c.field("at"), strict=True)):
-                        item = words.values.to_numpy()
-                        n = held_words(passages(item, doc, at.values.to_numpy()))
-                        if n >= share * len(item):
-                            rows.append((r, c.field("item")[i].as_py(), n, len(item)))
+                        w, p = words.values.to_numpy(), np.unique(at.values.to_numpy())
+                        if (item := known.get(w.tobytes())) is None:
+                            known = known if len(known) < 10_000 else {}
+                            item = known[w.tobytes()] = Item(w)
+                        if item.can_hold(doc, p, share * len(w)):
+                            cases.append((item, doc, p))
+                            whose.append((r, c.field("item")[i].as_py()))
+                rows = [(*k, n, len(c[0].words)) for k, n, c in zip(whose, most_held(cases, share), cases, strict=True) if n >= share * len(c[0].words)]
                 if rows:
                     r, i, n, m = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(r)), pa.array(i, item_type), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[doc_key, item_key, "held", "words"])
