@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import MILE_M, haversine_m, np_haversine_m
-from .ordered import Arrays, numbered, ordered_scan, with_previous
+from ..session import lookup_join
+from .ordered import SLICE_ROWS, Arrays, numbered, ordered_scan, with_previous
 from .sessions import from_micros, micros
 
 
@@ -54,15 +55,18 @@ def movement_class(steps: DataFrame, most_mph: float = 4.0) -> DataFrame:
     return steps.withColumns({"is_stationary": slow, "movement_state": F.when(slow.isNull(), None).when(slow, "stationary").otherwise("transition"), "dwell_time_seconds": F.round(F.col("duration_min") * 60).cast("int"), "dist_miles": F.round("dist_miles", 4), "speed_mph": F.round("speed_mph", 2)})
 
 
-_STAY = T.StructType([T.StructField("subid", T.LongType()), T.StructField("start_us", T.LongType()), T.StructField("first_id", T.LongType()), T.StructField("end_us", T.LongType()), T.StructField("n_points", T.LongType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+_STAY = T.StructType([T.StructField(c, T.LongType()) for c in ("subid", "us", "first_id", "start_us", "end_us", "n_points")] + [T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
 
 
-def raw_stays(fixes: DataFrame, id_col: str, dist_m: float = 50.0, gap_min: float = 60.0, n_rows: int | None = None) -> DataFrame:
-    """Runs of fixes each within ``dist_m`` and ``gap_min`` of its predecessor (both inclusive), with median position."""
+def raw_stays(fixes: DataFrame, id_col: str, dist_m: float = 50.0, gap_min: float = 60.0, n_rows: int | None = None, time: str = "time", wall: str = "time_local", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Runs of fixes each within ``dist_m`` and ``gap_min`` of its predecessor (both inclusive), with median position.
+
+    Order is (``time``, id); gaps, start and end are read from ``wall``, the subject's own clock.
+    """
 
     def breaks(a: Arrays) -> np.ndarray:
         b = np.ones(len(a["us"]), bool)
-        b[1:] = (a["subid"][1:] != a["subid"][:-1]) | (a["us"][1:] - a["us"][:-1] > gap_min * 6e7) | (np_haversine_m(a["lon"][:-1], a["lat"][:-1], a["lon"][1:], a["lat"][1:]) > dist_m)
+        b[1:] = (a["subid"][1:] != a["subid"][:-1]) | (a["wall"][1:] - a["wall"][:-1] > gap_min * 6e7) | (np_haversine_m(a["lon"][:-1], a["lat"][:-1], a["lon"][1:], a["lat"][1:]) > dist_m)
         return b
 
     def kernel(a: Arrays, own: np.ndarray) -> dict:
@@ -77,25 +81,81 @@ def raw_stays(fixes: DataFrame, id_col: str, dist_m: float = 50.0, gap_min: floa
             return (v[s + (n - 1) // 2] + v[s + n // 2]) / 2
 
         k = own[s]
-        out = {"subid": a["subid"][s], "start_us": a["us"][s], "first_id": a["point"][s], "end_us": a["us"][e - 1], "n_points": n, "lat": median(a["lat"]), "lon": median(a["lon"])}
+        out = {"subid": a["subid"][s], "us": a["us"][s], "first_id": a["point"][s], "start_us": np.minimum.reduceat(a["wall"], s), "end_us": np.maximum.reduceat(a["wall"], s), "n_points": n, "lat": median(a["lat"]), "lon": median(a["lon"])}
         return {c: v[k] for c, v in out.items()}
 
     n_rows = fixes.count() if n_rows is None else n_rows
-    rows = fixes.filter(f"subid IS NOT NULL AND time IS NOT NULL AND {id_col} IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(F.col("subid").cast("long").alias("subid"), micros("time").alias("us"), F.col(id_col).cast("long").alias("point"), "lat", "lon")
-    return ordered_scan(rows, ["subid", "us", "point"], _STAY, kernel, n_rows=n_rows, breaks=breaks)
+    rows = fixes.filter(f"subid IS NOT NULL AND {time} IS NOT NULL AND {wall} IS NOT NULL AND {id_col} IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(F.col("subid").cast("long").alias("subid"), micros(time).alias("us"), micros(wall).alias("wall"), F.col(id_col).cast("long").alias("point"), "lat", "lon")
+    return ordered_scan(rows, ["subid", "us", "point"], _STAY, kernel, n_rows=n_rows, breaks=breaks, slice_rows=slice_rows)
 
 
-def detect_stays(fixes: DataFrame, id_col: str = "processed_id", dist_m: float = 50.0, time_min: float = 10.0, gap_min: float = 60.0, max_hours: float = 12.0, n_rows: int | None = None) -> DataFrame:
+def detect_stays(fixes: DataFrame, id_col: str = "processed_id", dist_m: float = 50.0, time_min: float = 10.0, gap_min: float = 60.0, max_hours: float = 12.0, n_rows: int | None = None, time: str = "time", wall: str = "time_local", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(stay_id, subid, start_time, end_time, dwell_mins, n_points, lat, lon) of stays of ``time_min`` to ``max_hours``.
 
-    A stay may drift: each fix is held against its predecessor. stay_id numbers all stays by (subid, start). Rows with a
-    null key, time or position are no fixes; empty input gives no rows.
+    A stay may drift: each fix is held against its predecessor. stay_id numbers all stays by (subid, start). Times are
+    the subject's own clock. Rows with a null key, time or position are no fixes; repeated rows count each; empty input
+    gives no rows.
     """
     n_rows = fixes.count() if n_rows is None else n_rows
-    dwell = (F.col("end_us") - F.col("start_us")) / 6e7
-    kept = raw_stays(fixes, id_col, dist_m, gap_min, n_rows).withColumn("dwell_mins", dwell).filter(F.col("dwell_mins").between(time_min, max_hours * 60))
-    ids = numbered(kept, ["subid", "start_us", "first_id"], n_rows=max(1, n_rows // 10), name="stay_id")
-    return ids.select(F.col("stay_id").cast("int").alias("stay_id"), F.col("subid").cast(fixes.schema["subid"].dataType).alias("subid"), from_micros("start_us").alias("start_time"), from_micros("end_us").alias("end_time"), "dwell_mins", "n_points", "lat", "lon")
+    raw = raw_stays(fixes, id_col, dist_m, gap_min, n_rows, time, wall, slice_rows)
+    return kept_stays(raw, time_min, max_hours, n_rows).withColumn("subid", F.col("subid").cast(fixes.schema["subid"].dataType))
+
+
+def kept_stays(raw: DataFrame, time_min: float, max_hours: float, n_rows: int) -> DataFrame:
+    """Raw stays of the given length, numbered by (subid, start)."""
+    kept = raw.withColumn("dwell_mins", (F.col("end_us") - F.col("start_us")) / 6e7).filter(F.col("dwell_mins").between(time_min, max_hours * 60))
+    ids = numbered(kept, ["subid", "us", "first_id"], n_rows=max(1, n_rows // 10), name="stay_id")
+    return ids.select(F.col("stay_id").cast("int").alias("stay_id"), "subid", from_micros("start_us").alias("start_time"), from_micros("end_us").alias("end_time"), "dwell_mins", "n_points", "lat", "lon")
+
+
+def filter_impact(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, n, pct) of a filter: rows before, after, and removed."""
+    a, b = before.count(), after.count()
+    pct = lambda x: round(100.0 * x / a, 2) if a else None
+    return before.sparkSession.createDataFrame([("before", a, pct(a)), ("after", b, pct(b)), ("removed", a - b, pct(a - b))], "metric string, n long, pct double")
+
+
+def process(raw: DataFrame, id_col: str = "point_id", rule3: str = "as_coded", n_rows: int | None = None) -> DataFrame:
+    """Raw points to processed fixes: valid rows, step metrics, quality rules, local time and movement class."""
+    return movement_class(localise(quality_filter(step_metrics(valid_fixes(raw), id_col, n_rows), rule3)))
+
+
+def sampling_by_movement(fixes: DataFrame, id_col: str = "point_id", app: str = "app_source", still_m: float = 50.0, most_gap_s: float = 3600.0) -> tuple[DataFrame, DataFrame]:
+    """(gaps, ratios) for the question whether an app records less often when its subject rests.
+
+    gaps: per (app, movement) the number, quantiles and mean of gaps under ``most_gap_s``, and the number of longer ones.
+    ratios: per app the median gap at rest over that in motion, and whether it is above 1.5. First fixes and gaps of zero
+    are left out.
+    """
+    steps = step_metrics(fixes, id_col).withColumn("gap_s", F.col("duration_min") * 60).filter("gap_s > 0")
+    rest = F.when(F.col("dist_m") <= still_m, "Stationary").otherwise("Moving").alias("movement")
+    short = F.when(F.col("gap_s") < most_gap_s, F.col("gap_s"))
+    gaps = steps.groupBy(F.col(app).alias("app"), rest).agg(F.count(short).alias("n_points"), F.min(short).alias("min_gap"), F.percentile(short, F.lit(0.25)).alias("q25"), F.percentile(short, F.lit(0.5)).alias("median_gap"), F.percentile(short, F.lit(0.75)).alias("q75"), F.max(short).alias("max_gap"), F.avg(short).alias("mean_gap"), (F.count("*") - F.count(short)).alias("n_excluded"), F.percentile("gap_s", F.lit(0.95)).alias("q95_all"), F.percentile("gap_s", F.lit(0.99)).alias("q99_all"))
+    wide = gaps.groupBy("app").agg(*(F.max(F.when(F.col("movement") == m, F.col("median_gap"))).alias(m.lower()) for m in ("Stationary", "Moving")))
+    ratio = F.try_divide("stationary", "moving")
+    return gaps, wide.select("app", "stationary", "moving", ratio.alias("ratio"), F.when(ratio.isNull(), None).when(ratio > 1.5, "likely adaptive sampling").otherwise("likely fixed-interval sampling").alias("sampling"))
+
+
+def visit_windows(stays: DataFrame, visits: DataFrame, most: int = 3) -> DataFrame:
+    """Stays in every follow-up window of their subject: adds fu_number and window_end.
+
+    ``visits``: (subid, visit_type, visit_date); intakes are no follow-ups. Follow-ups are numbered by date up to
+    ``most``; a window holds all stays up to its date. Windows hold each other, so a stay comes out up to ``most`` times.
+    """
+    follow = visits.filter(~F.col("visit_type").contains("intake") & F.col("visit_date").isNotNull()).select("subid", "visit_date").distinct()
+    ends = rank_in(follow, ["subid"], ["visit_date"], "fu_number").filter(F.col("fu_number") <= most).select("subid", "fu_number", F.col("visit_date").alias("window_end"))
+    return lookup_join(stays, ends, ["subid"], spread="stay_id").filter(F.to_date("start_time") <= F.col("window_end"))
+
+
+def intake_flag(locations: DataFrame) -> DataFrame:
+    """Adds intake: 1 for a subject's reports of its earliest time, else 0. A null time is none."""
+    first = locations.groupBy("subid").agg(F.min("utc").alias("__first"))
+    return lookup_join(locations, first, ["subid"], spread="utc", how="left").withColumn("intake", F.coalesce((F.col("utc") == F.col("__first")).cast("int"), F.lit(0))).drop("__first")
+
+
+def known_by(locations: DataFrame, window_end: Column) -> Column:
+    """Whether a report counts for a window: made at intake, or up to the last second of the window's last day in UTC."""
+    return (F.col("intake") == 1) | (F.timestamp_seconds("utc") <= F.to_timestamp(F.concat(window_end.cast("string"), F.lit(" 23:59:59"))))
 
 
 def daily_entropy(stays: DataFrame, least_stays: int = 3, least_clusters: int = 2, grain: str = "stay") -> DataFrame:

@@ -80,7 +80,7 @@ def ordered_scan(
     """
     assert (halo is None) != (breaks is None)
     n = slice_count(n_rows, slice_rows)
-    raw_schema = df.schema
+    raw_schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])  # all may be null where a row is a result
     out = T.StructType([T.StructField("res", result), T.StructField("raw", raw_schema), T.StructField("own", T.BooleanType()), T.StructField("slice", T.LongType()), T.StructField("chain", T.LongType())])
     a_res, a_raw, a_out = to_arrow_schema(result), to_arrow_schema(raw_schema), to_arrow_schema(out)
 

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, haversine_m
-from ..session import materialize
+from ..functions.geo import EARTH_M, haversine_m, mercator_distance
+from ..session import lookup_join, materialize
 
 #: Coverage cells have 2**-level degrees; regions are covered from the coarsest to the finest of these levels.
 COARSEST, FINEST = 5, 10
@@ -186,3 +186,87 @@ def near_points(points: DataFrame, objects: DataFrame, point_key: str, object_ke
     found = _probe_join(p, cells, ["ix", "iy"], 2 * F.size("spots"))
     hit = found.filter(F.exists("spots", lambda s: haversine_m(F.col("__x"), F.col("__y"), s["__ox"], s["__oy"]) <= radius_m))
     return hit.select(F.col("__p").alias(point_key), *object_keys)
+
+
+def radius_join(points: DataFrame, objects: DataFrame, radius_m: float, by: list[str] = [], lon: str = "lon", lat: str = "lat", object_lon: str = "olon", object_lat: str = "olat", metric: str = "geodesic") -> DataFrame:  # noqa: B006
+    """Every point with every object of equal ``by`` columns at most ``radius_m`` away: all columns of both, and dist_m.
+
+    ``metric``: ``geodesic`` (great circle) or ``mercator`` (planar metres of spherical Mercator, larger than on the
+    ground). Columns other than ``by`` must differ. Objects are written to the cells that their circle can touch; points
+    keep one cell. Null positions or keys match nothing.
+    """
+    reach = math.degrees(radius_m / EARTH_M) * 1.000001
+    size = reach * 1.5
+    here = lambda df, x, y: df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(object_lat)) + reach, F.lit(89.9)))), F.lit(1e-3))
+    span = lambda c, r: F.explode(F.sequence(F.floor((F.col(c) - r) / size).cast("long"), F.floor((F.col(c) + r) / size).cast("long")))
+    o = here(objects, object_lon, object_lat).withColumn("__ix", span(object_lon, wide)).withColumn("__iy", span(object_lat, F.lit(reach)))
+    p = here(points, lon, lat).withColumns({"__ix": F.floor(F.col(lon) / size).cast("long"), "__iy": F.floor(F.col(lat) / size).cast("long")})
+    dist = {"geodesic": haversine_m, "mercator": mercator_distance}[metric](lon, lat, object_lon, object_lat)
+    found = lookup_join(p, o, [*by, "__ix", "__iy"], spread=lat, width=32 * (len(objects.columns) + 2))
+    return found.withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("__ix", "__iy")
+
+
+def nearest(points: DataFrame, objects: DataFrame, key: str, category: str, object_key: list[str], start_m: float = 1000.0, rank_by: str = "meters") -> DataFrame:
+    """(key, category, object_key..., dist_m): each point's nearest object of every category that has one, however far.
+
+    Rings: an object within a radius is certain to be the nearest once any was found there, so points search a radius and
+    those without a hit go on with four times as much. ``rank_by="degrees"`` ranks by planar degrees and still reports
+    metres. Ties go to the smallest object key. Points with a null position or key are left out.
+    """
+    todo = points.filter(F.col(key).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(key, "lon", "lat")
+    named = objects.filter(F.col(category).isNotNull() & F.col("olon").isNotNull() & F.col("olat").isNotNull()).select(category, *object_key, "olon", "olat")
+    named = materialize(named)
+    todo = materialize(todo.join(F.broadcast(named.select(category).distinct())))  # a category name a point each
+    planar = F.sqrt(F.pow(F.col("lon") - F.col("olon"), F.lit(2.0)) + F.pow(F.col("lat") - F.col("olat"), F.lit(2.0)))
+    out, radius = None, start_m
+    while True:
+        last = radius > 20_100_000
+        if last:
+            # what is left is more than half the globe from everything seen so far
+            near = lookup_join(todo, named, [category], spread="lat", width=64).withColumn("dist_m", haversine_m("lon", "lat", "olon", "olat"))
+        else:
+            near = radius_join(todo, named, radius, by=[category])
+        score = planar if rank_by == "degrees" else F.col("dist_m")
+        if rank_by == "degrees" and not last:
+            # within this many degrees everything lies in the circle, whatever its direction
+            near = near.filter(score <= math.degrees(radius / EARTH_M))
+        best = near.groupBy(key, category).agg(F.min(F.struct(score.alias("s"), *object_key, "dist_m")).alias("b")).select(key, category, *(f"b.{k}" for k in object_key), "b.dist_m")
+        best = materialize(best)
+        out = best if out is None else out.unionByName(best)
+        todo = materialize(todo.join(best.select(key, category), [key, category], "left_anti"))
+        if last or not todo.limit(1).count():
+            return out
+        radius *= 4
+
+
+def radius_counts(points: DataFrame, objects: DataFrame, key: str, category: str, categories: list[str], radii_m: list[float], metric: str = "geodesic", prefix: str = "n_") -> DataFrame:
+    """(key, n_<category>_<radius>...) numbers of objects within each radius; 0 where there are none.
+
+    One join at the largest radius, conditional counts, and a left join back to all points. A null key is left out; a
+    point with a null position has zeros.
+    """
+    near = radius_join(points.select(key, "lon", "lat"), objects.filter(F.col(category).isin(categories)), max(radii_m), metric=metric)
+    counts = {f"{prefix}{c}_{r:g}": F.count_if((F.col(category) == c) & (F.col("dist_m") <= r)) for c in categories for r in radii_m}
+    t = near.groupBy(key).agg(*(x.alias(n) for n, x in counts.items()))
+    return points.filter(F.col(key).isNotNull()).select(key).join(t, key, "left").fillna(0, list(counts))
+
+
+def visit_match(points: DataFrame, objects: DataFrame, key: str, object_key: list[str], columns: list[str], radius_m: float = 50.0, candidates: int = 5) -> DataFrame:
+    """(key, columns..., dist_m): of a point's ``candidates`` nearest objects by degrees the first within ``radius_m``.
+
+    An object within the radius is within a known number of degrees, so only objects that near are ranked: those
+    farther by degrees come after all that could match. Points without a match are left out.
+    """
+    edge = math.degrees(radius_m / EARTH_M)
+    # the widest degrees of the radius at the highest latitude there is
+    top = points.agg(F.max(F.abs(F.col("lat")))).first()[0]
+    if top is None:
+        top = 0.0
+    wide = edge / max(math.cos(math.radians(min(float(top) + edge, 89.0))), 1e-3)
+    reach_m = math.radians(wide) * EARTH_M * 1.001
+    near = radius_join(points.select(key, "lon", "lat"), objects.select(*object_key, *(c for c in columns if c not in object_key), "olon", "olat"), reach_m)
+    planar = F.sqrt(F.pow(F.col("lon") - F.col("olon"), F.lit(2.0)) + F.pow(F.col("lat") - F.col("olat"), F.lit(2.0)))
+    ranked = near.withColumn("__deg", planar).withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy("__deg", *object_key)))
+    first = ranked.filter((F.col("__rank") <= candidates) & (F.col("dist_m") <= radius_m))
+    return first.groupBy(key).agg(F.min(F.struct("__rank", *columns, "dist_m")).alias("b")).select(key, *(f"b.{c}" for c in columns), "b.dist_m")
