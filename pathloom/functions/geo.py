@@ -86,3 +86,27 @@ def cell(c, size: float) -> Column:
 def lon_cells(metres: float, lat, size: float) -> Column:
     """How many cells of ``size`` degrees of longitude ``metres`` can span at ``lat`` (rounded up)."""
     return F.ceil(F.lit(math.degrees(metres / EARTH_M) / size) / F.greatest(F.cos(F.radians(F.abs(col(lat)) + 0.01)), F.lit(1e-6))).cast("long")
+
+
+def from_mercator(x, y) -> tuple[Column, Column]:
+    """Longitude and latitude of a position in spherical Mercator."""
+    return F.degrees(col(x) / EARTH_M), F.degrees(2 * F.atan(F.exp(col(y) / EARTH_M)) - F.lit(math.pi / 2))
+
+
+def from_utm(easting, northing, zone: int = 16) -> tuple[Column, Column]:
+    """Longitude and latitude of a position in a northern UTM zone on WGS84, by the inverse Krueger series."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3]
+    delta = [2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3]
+    xi, eta = col(northing) / (0.9996 * big_a), (col(easting) - 500000.0) / (0.9996 * big_a)
+    x1, e1 = xi, eta
+    for j, b in enumerate(beta, 1):
+        x1 = x1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        e1 = e1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x1) / F.cosh(e1))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(e1), F.cos(x1))) + (6 * zone - 183), F.degrees(phi)
