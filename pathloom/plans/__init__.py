@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold a registry ``R``.
-MODULES = ("corpus", "relational", "mobility", "spatial", "places")
+MODULES = ("corpus", "relational", "mobility", "spatial", "places", "tables")
 
 
 def all_registries():

@@ -22,6 +22,7 @@ def build_session(app: str = "pathloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     b = SparkSession.builder.appName(app)
     if master:
@@ -29,15 +30,30 @@ def build_session(app: str = "pathloom", master: str | None = None, **conf: str)
     return b.config(map=settings).getOrCreate()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder is used, but only on one machine (``local`` masters, as in tests); on a
+    cluster that would lose data with its executor, so it is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return os.path.join(tempfile.gettempdir(), "pathloom-checkpoints")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and return the written form.
+    """Write ``df`` once to the shared checkpoint folder and return the written form, so a lost executor costs nothing.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (unit tests on one
-    machine) a temporary folder is used, so a lost executor never takes the only copy with it on a cluster.
+    Written data goes when it is no longer referenced, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on (as
+    :func:`build_session` sets it).
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pathloom-checkpoints"))
+        sc.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

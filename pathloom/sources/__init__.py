@@ -1 +1 @@
-
+"""Readers of tables and layers."""

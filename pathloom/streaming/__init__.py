@@ -1 +1 @@
-
+"""Streaming forms of sessions and windows."""
