@@ -9,13 +9,13 @@ length; ranks come from counts per partition, so no length, however common, is g
 
 from __future__ import annotations
 
-import bisect
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +42,12 @@ BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 def token_counts(docs: DataFrame, key: str, text: str = "text", path: str = TOKENIZER_FILE, pattern: str = BPE_PATTERN) -> DataFrame:
     """(key, n_tokens) of every text under a public byte-level BPE; null and empty texts have 0 tokens."""
 
+    # shipped to every executor, which needn't have it
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(path, pattern)
+        enc = _encoding(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
@@ -51,24 +55,19 @@ def token_counts(docs: DataFrame, key: str, text: str = "text", path: str = TOKE
     return docs.select(key, text).mapInArrow(count, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long")
 
 
-def plan_patterns(counts: dict[int, int], capacity: int, looks: int = 64) -> list[tuple[dict[int, int], int]]:
+def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: items}, containers) that use up ``counts`` (lengths in 1..capacity).
 
-    ``looks`` bounds nothing but effort: among containers opened by the same longest length the best filling is always
-    taken; it is the number of most frequent lengths offered to the subset sum in its first try, and all lengths are
-    offered whenever that try leaves room free.
+    The longest length left opens a container; all lengths left are offered for the rest of it, with their counts. Each
+    pattern uses up a length or leaves fewer of it than it needs, so there are few patterns however many items.
     """
-    left = {k: v for k, v in counts.items() if v > 0}
+    left = {k: v for k, v in sorted(counts.items(), reverse=True) if v > 0}
     patterns: list[tuple[dict[int, int], int]] = []
     while left:
-        top = max(left)
-        room = capacity - top
-        pool = {k: v - (k == top) for k, v in left.items() if k <= room and v - (k == top) > 0}
-        few = dict(sorted(sorted(pool.items(), key=lambda x: -x[1])[:looks]))
-        pick = _closest(few, room)
-        if sum(k * v for k, v in pick.items()) < room and len(few) < len(pool):
-            pick = max(pick, _closest(pool, room), key=lambda p: sum(k * v for k, v in p.items()))
-        use = dict(pick)
+        top = next(iter(left))  # lengths stay in falling order
+        left[top] -= 1
+        use = _closest(left, capacity - top)
+        left[top] += 1
         use[top] = use.get(top, 0) + 1
         times = min(left[k] // v for k, v in use.items())
         for k, v in use.items():
@@ -80,14 +79,18 @@ def plan_patterns(counts: dict[int, int], capacity: int, looks: int = 64) -> lis
 
 
 def _closest(pool: dict[int, int], room: int) -> dict[int, int]:
-    """Multiset of ``pool`` (length: count) whose sum comes closest to ``room`` from below, by bitset subset-sum.
+    """Multiset of ``pool`` (length: count, in falling order) whose sum comes closest to ``room`` from below, by bitset
+    subset-sum.
 
-    Long lengths are offered first, so short ones, which fit anywhere, are kept for later. Counts are binary split.
+    Long lengths are offered first, so short ones, which fit anywhere, are kept for later. Counts are binary split. Once
+    the room can be filled exactly nothing better can come.
     """
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for k in sorted(pool, reverse=True):
-        most, part = min(pool[k], room // k), 1
+    for k, count in pool.items():
+        if k > room:
+            continue
+        most, part = min(count, room // k), 1
         while most > 0:
             take = min(part, most)
             new = (reach | (reach << (k * take))) & mask
@@ -136,30 +139,31 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     part = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
     part = part.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     part = materialize(part)
+    assert capacity < 1 << 13, "the plan is made for lengths below 2**13"
     # at most `capacity` rows: the histogram of lengths
     counts = {int(r["length"]): int(r["n"]) for r in part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     patterns = plan_patterns(counts, capacity)
-    starts: dict[int, list[int]] = {}
-    slots: dict[int, list[tuple[int, int]]] = {}  # by length: first rank -> (first container, items a container)
+    # per length its patterns' first ranks, first containers and items a container, one after another: bounded like the patterns
+    rows: list[tuple[int, int, int, int]] = []
     used: dict[int, int] = {}
     container = 0
     for use, times in patterns:
         for k, v in use.items():
-            starts.setdefault(k, []).append(used.get(k, 0))
-            slots.setdefault(k, []).append((container, v))
+            rows.append((k, used.get(k, 0), container, v))
             used[k] = used.get(k, 0) + v * times
         container += times
-    shared = items.sparkSession.sparkContext.broadcast((starts, slots))
+    rows.sort()
+    lengths, firsts, containers, each = np.array(rows, np.int64).reshape(-1, 4).T
+    shared = items.sparkSession.sparkContext.broadcast((lengths, firsts, containers, each))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, slot = shared.value
+        length, first, start, per = shared.value
+        # one number orders (length, rank); ranks are below 2**50
+        at = length * (1 << 50) + first
         for b in batches:
-            out = np.empty(b.num_rows, np.int64)
-            for i, (n, r) in enumerate(zip(b.column(3).to_numpy().tolist(), b.column(4).to_numpy().tolist(), strict=True)):
-                j = bisect.bisect_right(first[n], r) - 1
-                c, v = slot[n][j]
-                out[i] = c + (r - first[n][j]) // v
-            yield pa.RecordBatch.from_arrays([pa.array(out), *b.columns[:4]], names=["container_id", key, "piece", "start", "length"])
+            n, r = b.column(3).to_numpy(), b.column(4).to_numpy()
+            j = np.searchsorted(at, n * (1 << 50) + r, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(start[j] + (r - first[j]) // per[j]), *b.columns[:4]], names=["container_id", key, "piece", "start", "length"])
 
     placed = ranked.join(F.broadcast(part.select("length", "part", "offset")) if ranked.rdd.getNumPartitions() * capacity <= 2_000_000 else part.select("length", "part", "offset"), ["length", "part"])
     placed = placed.select("k", "piece", "start", "length", (F.col("rank") + F.col("offset")).alias("rank"))
