@@ -31,9 +31,12 @@ def slice_count(n_rows: int, slice_rows: int = SLICE_ROWS) -> int:
     return max(1, ceil(n_rows / slice_rows))
 
 
-def sliced(df: DataFrame, order: list[str], n_rows: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """``df`` cut into slices of its total order, each sorted. Slice numbers follow the order."""
-    return df.repartitionByRange(slice_count(n_rows, slice_rows), *order).sortWithinPartitions(*order)
+def sliced(df: DataFrame, order: list[str], n_rows: int, slice_rows: int = SLICE_ROWS, cut: list[str] | None = None) -> DataFrame:
+    """``df`` cut into slices of its total order, each sorted. Slice numbers follow the order.
+
+    With ``cut``, leading columns of the order, rows that are equal in these stay in one slice.
+    """
+    return df.repartitionByRange(slice_count(n_rows, slice_rows), *(cut or order)).sortWithinPartitions(*order)
 
 
 def to_arrays(table: pa.Table) -> Arrays:
@@ -66,6 +69,8 @@ def ordered_scan(
     n_rows: int,
     halo: int | None = None,
     breaks: Callable[[Arrays], np.ndarray] | None = None,
+    whole: Callable[[Arrays, int], dict] | None = None,
+    cut: list[str] | None = None,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Run ``kernel`` over all rows in ``order`` and return its result rows.
@@ -75,6 +80,9 @@ def ordered_scan(
     belong together; everything between two breaks is decided together). With ``breaks`` a kernel may also look at the
     row before a break, to say how the first row after it was reached: unless the input starts there, it is shown.
 
+    ``whole(arrays, slice)`` gives further result rows for each slice by itself, such as what its first and last runs are,
+    for questions that no halo bounds. ``cut`` is passed to :func:`sliced`.
+
     Empty input gives no rows. Slices too short to be cut are joined to their neighbours, so tiny and lopsided inputs
     give the same rows as one slice would.
     """
@@ -97,6 +105,10 @@ def ordered_scan(
             return
         table = pa.Table.from_batches(kept).combine_chunks().cast(a_raw)
         arrays, k, at = to_arrays(table), table.num_rows, TaskContext.get().partitionId()
+        if whole is not None:
+            more = to_batch(whole(arrays, at), a_res)
+            if more.num_rows:
+                yield wrap(more, None, None, at, None)
         if n == 1:
             yield wrap(to_batch(kernel(arrays, np.ones(k, bool)), a_res), None, None, 0, None)
             return
@@ -117,7 +129,7 @@ def ordered_scan(
         for lo, hi, chain, mine in ((0, shown or head, 0, lambda i: i < head), (k - (shown or tail + 1), k, 1, lambda i: i >= k - tail)):
             yield wrap(None, table.slice(lo, hi - lo), mine(np.arange(lo, hi)), at, chain)
 
-    first = sliced(df, order, n_rows, slice_rows).mapInArrow(scan, out)
+    first = sliced(df, order, n_rows, slice_rows, cut).mapInArrow(scan, out)
     if n == 1:
         return first.filter("res IS NOT NULL").select("res.*")
     first = materialize(first)
