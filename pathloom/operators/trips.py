@@ -3,15 +3,15 @@
 1. Stationary stretches: longest runs of successive fixes of which every two lie within a radius, without a long
    silence, lasting long enough. They are found in an ordered scan; two fixes far apart or long silent part the scan.
 2. Places: the stretches' median positions are pooled in small cells per subject; cells near each other form a
-   proximity graph of bounded degree. Communities are the basins of its weight: every cell points to the heaviest cell
-   near it, pointers are doubled until they rest.
-3. Visits: a stretch with its place. Trips lead from a visit to the next, with the way covered between.
+   proximity graph of bounded degree. Its communities, by label propagation, are the recurring places.
+3. Visits: successive stretches at one place, with no silence between. Trips lead from a stretch to the next, of the same
+   visit or of the next one, with the way covered between.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,21 +38,72 @@ def plausible_positions(gps: DataFrame, rules: ReadingRules = ReadingRules(), n_
     return without(gps, implausible_readings(gps, rules, n_rows).filter("measure = 'lat'"))
 
 
+#: Fixes that are added to a window at once where its hull allows.
+BLOCK = 256
+
+
+def _extremes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of the convex hull's corners (monotone chain); the farthest two of a set are among them."""
+    order = np.lexsort((y, x))
+    xs, ys = x[order].tolist(), y[order].tolist()
+
+    def chain(seq):
+        out: list[int] = []
+        for i in seq:
+            while len(out) > 1 and (xs[out[-1]] - xs[out[-2]]) * (ys[i] - ys[out[-2]]) - (ys[out[-1]] - ys[out[-2]]) * (xs[i] - xs[out[-2]]) <= 0:
+                out.pop()
+            out.append(i)
+        return out
+
+    return order[np.unique(chain(range(len(xs))) + chain(range(len(xs) - 1, -1, -1)))]
+
+
 def longest_windows(lat: np.ndarray, lon: np.ndarray, sec: np.ndarray, radius_m: float, least_s: float) -> list[tuple[int, int]]:
-    """All longest (not extendable) windows [i, j] of successive fixes, every two within the radius, lasting ``least_s``."""
+    """All longest (not extendable) windows [i, j] of successive fixes, every two within the radius, lasting ``least_s``.
+
+    Distances are taken in a plane about the fixes, and on the sphere where the plane leaves them open. A block of fixes
+    joins its window at once if the hull of both is narrow enough, so a long quiet stop costs about its length.
+    """
     n = len(lat)
     if n == 0 or sec[-1] - sec[0] < least_s:
         return []
-    dy, dx = np.radians(lat.max() - lat.min()) * EARTH_M, np.radians(lon.max() - lon.min()) * EARTH_M * np.cos(np.radians(np.abs(lat).min()))
-    if dy * dy + dx * dx <= (0.999 * radius_m) ** 2:
-        return [(0, n - 1)]
-    lo, found = 0, []
-    for j in range(1, n):
-        far = np.flatnonzero(np_haversine_m(lon[lo:j], lat[lo:j], lon[j], lat[j]) > radius_m)
-        if len(far):
-            if sec[j - 1] - sec[lo] >= least_s:
-                found.append((lo, j - 1))
-            lo += int(far[-1]) + 1
+    mid = float(lat[n // 2])
+    x = np.radians(lon - lon[0]) * EARTH_M * np.cos(np.radians(mid))
+    y = np.radians(lat - mid) * EARTH_M
+    # the plane's error over the radius: its width is right at one latitude
+    slack = 0.05 + radius_m * float(np.abs(np.radians(lat - mid)).max()) * (abs(np.tan(np.radians(mid))) + 1)
+    near2, far2 = max(0.0, radius_m - slack) ** 2, (radius_m + slack) ** 2
+
+    def narrow(at: np.ndarray) -> bool:
+        return float(((x[at, None] - x[at]) ** 2 + (y[at, None] - y[at]) ** 2).max()) <= near2
+
+    lo, found, j = 0, [], 1
+    hull, hull_lo, hull_to = np.array([0]), 0, 1  # of the window lo..hull_to-1
+    while j < n:
+        if j + BLOCK <= n or j - lo >= BLOCK:
+            if hull_lo != lo:
+                hull, hull_lo, hull_to = np.arange(lo, lo + 1), lo, lo + 1
+            to = min(n, j + BLOCK)
+            at = np.r_[hull, np.arange(hull_to, to)]
+            at = at[_extremes(x[at], y[at])]
+            if narrow(at):
+                hull, hull_to, j = at, to, to
+                continue
+        for j in range(j, min(n, j + BLOCK)):
+            d2 = (x[lo:j] - x[j]) ** 2 + (y[lo:j] - y[j]) ** 2
+            far = d2 > near2
+            if far.any():
+                at = np.flatnonzero(far) + lo
+                open_ = d2[at - lo] <= far2
+                if open_.any():
+                    keep = ~open_
+                    keep[open_] = np_haversine_m(lon[at[open_]], lat[at[open_]], lon[j], lat[j]) > radius_m
+                    at = at[keep]
+                if len(at):
+                    if sec[j - 1] - sec[lo] >= least_s:
+                        found.append((lo, j - 1))
+                    lo = int(at[-1]) + 1
+        j += 1
     if sec[-1] - sec[lo] >= least_s:
         found.append((lo, n - 1))
     return found
@@ -129,11 +180,15 @@ def _trip_kernel(a: Arrays, own: np.ndarray) -> dict:
     return {"subid": a["subid"][s], "start_us": a["us"][s], "start_id": a["processed_id"][s], "end_us": a["us"][e], "end_id": a["processed_id"][e], "n": fixes[ok], "way_m": way[ok], "from_us": a["end_us"][s], "to_us": a["us"][e]}
 
 
-def places(stops: DataFrame, near_m: float = 50.0, cell_m: float = 20.0) -> DataFrame:
+def places(stops: DataFrame, near_m: float = 50.0, cell_m: float = 20.0, rounds: int = 12) -> DataFrame:
     """(subid, cx, cy, place): the community of each occupied cell of the stops' medians.
 
     ``stops`` needs subid, lat, lon, weight. Cells are pooled before anything is joined, so a place visited a million
-    times is a few cells, and a cell has a bounded number of neighbours; no pairs of stops are formed.
+    times is a few cells, and a cell has a bounded number of neighbours; no pairs of stops are formed. Cells up to
+    ``near_m`` apart are linked by the product of their weights, less with distance. Communities come by label
+    propagation: each cell takes the label that its neighbours pull to most, if that label's cell is heavier than its
+    own label's, so labels settle; until none changes or for so many ``rounds``. A community is named by the cell whose
+    label it carries.
     """
     size = float(np.degrees(cell_m / EARTH_M))
     cells = stops.select("subid", "lat", "lon", "weight", *_cell("lat", "lon", size)).groupBy("subid", "cx", "cy").agg(F.sum("weight").alias("w"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
@@ -143,15 +198,21 @@ def places(stops: DataFrame, near_m: float = 50.0, cell_m: float = 20.0) -> Data
     # columns are counted by the width of the row looked into, which may lie in another latitude band than the cell
     seen = cells.select("subid", "cx", "cy", "w", "lat", "lon").withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-span - 1), F.lit(span + 1)))).withColumn("oy", F.col("cy") + F.col("dy"))
     other = cells.select("subid", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("w").alias("ow"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
-    edges = seen.withColumn("ox", _column("lon", "oy", size) + F.col("dx")).join(other, ["subid", "ox", "oy"]).filter(haversine_m("lon", "lat", "olon", "olat") <= near_m)
-    points = materialize(edges.groupBy("subid", "cx", "cy").agg(F.max(F.struct("ow", "ox", "oy")).alias("top")).select("subid", "cx", "cy", F.col("top.ox").alias("px"), F.col("top.oy").alias("py")))
-    while True:
-        up = points.select("subid", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("px").alias("gx"), F.col("py").alias("gy"))
-        nxt = materialize(points.join(up, ["subid", "px", "py"], "left").select("subid", "cx", "cy", F.coalesce("gx", "px").alias("px"), F.coalesce("gy", "py").alias("py"), ((F.col("gx") != F.col("px")) | (F.col("gy") != F.col("py"))).alias("moved")))
-        points = nxt.drop("moved")
-        if not nxt.filter("moved").limit(1).count():
+    dist = haversine_m("lon", "lat", "olon", "olat")
+    linked = (dist <= near_m) & ((F.col("ox") != F.col("cx")) | (F.col("oy") != F.col("cy")))
+    edges = seen.withColumn("ox", _column("lon", "oy", size) + F.col("dx")).join(other, ["subid", "ox", "oy"]).filter(linked)
+    edges = materialize(edges.select("subid", "cx", "cy", "ox", "oy", (F.col("ow") / (1 + dist / cell_m)).alias("pull")))
+    # a label is its cell with the cell's weight first
+    labels = cells.select("subid", "cx", "cy", F.struct("w", "cx", "cy").alias("label"))
+    for _ in range(rounds):
+        votes = edges.join(labels.select("subid", F.col("cx").alias("ox"), F.col("cy").alias("oy"), "label"), ["subid", "ox", "oy"]).groupBy("subid", "cx", "cy", "label").agg(F.round(F.sum("pull"), 6).alias("pull"))
+        higher = votes.join(labels.withColumnRenamed("label", "own"), ["subid", "cx", "cy"]).filter("label >= own")
+        top = higher.groupBy("subid", "cx", "cy").agg(F.max(F.struct("pull", "label")).alias("top"))
+        new = materialize(labels.join(top, ["subid", "cx", "cy"], "left").select("subid", "cx", "cy", F.coalesce("top.label", "label").alias("label"), F.coalesce(F.col("top.label") != F.col("label"), F.lit(False)).alias("moved")))
+        labels = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
             break
-    return points.select("subid", "cx", "cy", F.concat_ws(":", "subid", "px", "py").alias("place"))
+    return labels.select("subid", "cx", "cy", F.concat_ws(":", "subid", "label.cx", "label.cy").alias("place"))
 
 
 def _cell(lat: str, lon: str, size: float):
@@ -166,6 +227,22 @@ def _column(lon: str, row: str | Column, size: float) -> Column:
     return F.floor(F.col(lon) * F.cos(F.radians(band)) / size).cast("long")
 
 
+def visits_of(stops_trips: DataFrame) -> DataFrame:
+    """(subid, visit, place, start_id, end_id, start_time, end_time, n_stops, n_fixes): contiguous visits.
+
+    ``stops_trips`` is the result of :func:`stops_and_trips`. Successive stops at one place are one visit where a trip
+    joins each to the next, that is, where no silence lies between.
+    """
+    stops = stops_trips.filter("kind = 'stop'")
+    joined = stops_trips.filter("kind = 'trip' AND place = to_place").select("subid", F.col("end_id").alias("start_id"), F.lit(0).alias("new"))
+    # a window over stops, of which a subject has few beside its fixes
+    w = Window.partitionBy("subid").orderBy("start_time", "start_id")
+    s = stops.join(joined, ["subid", "start_id"], "left").withColumn("visit", F.sum(F.coalesce("new", F.lit(1))).over(w))
+    first, last = F.min(F.struct("start_time", "start_id")), F.max(F.struct("end_time", "end_id"))
+    t = s.groupBy("subid", "visit").agg(F.min("place").alias("place"), first.alias("f"), last.alias("l"), F.count("*").alias("n_stops"), F.sum("n_fixes").alias("n_fixes"))
+    return t.select("subid", "visit", "place", "f.start_id", "l.end_id", "f.start_time", "l.end_time", "n_stops", "n_fixes")
+
+
 def stops_and_trips(gps: DataFrame, radius_m: float = 50.0, least_minutes: float = 10.0, silence_minutes: float = 60.0, n_rows: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Visits and trips: (subid, kind, start_id, end_id, start_time, end_time, duration_s, distance_m, n_fixes, place, to_place).
 

@@ -8,7 +8,8 @@ from ..operators.accumulate import heavy_keys, key_totals
 from ..operators.proximity import in_regions, near_points, point_of
 from ..operators.readings import implausible_readings
 from ..operators.sessions import from_micros, micros, sessions
-from ..operators.trips import plausible_positions, stops_and_trips
+from ..operators.trips import plausible_positions, stops_and_trips, visits_of
+from ..session import materialize
 from .registry import Registry, table
 
 R = Registry()
@@ -78,6 +79,13 @@ def p5_found(spark, d):
     return stops_and_trips(plausible_positions(gps, n_rows=n), n_rows=n).select("subid", "kind", "start_id", "end_id")
 
 
+@R.query("p5_visits")
+def p5_visits(spark, d):
+    gps = table(spark, d, "processed_gps")
+    n = gps.count()
+    return visits_of(materialize(stops_and_trips(plausible_positions(gps, n_rows=n), n_rows=n)))
+
+
 _SESSIONS = """
 WITH g AS (SELECT subid, processed_id, time, CASE WHEN time - lag(time) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS part FROM processed_gps WINDOW w AS (PARTITION BY subid ORDER BY time, processed_id)),
 s AS (SELECT *, sum(part) OVER (PARTITION BY subid ORDER BY time, processed_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
