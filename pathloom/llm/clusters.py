@@ -1,11 +1,13 @@
-"""Similarity clusters of fixes per subject, set off by distance, with Gaussian mixtures for their typical fixes.
-
-Fixes are pooled to distinct positions and these are cut into tiles with a margin, so that a subject with a third of all
-rows, or a place with a third of a subject's, is a bounded number of positions in bounded tiles. In a tile positions are
-summarised in small cells; cells within the separation distance of each other form neighbourhoods. A neighbourhood is a
-cluster if it passes the exact check of size, diameter and separation: this alone decides the members. A weighted mixture
-with regularised covariance is fitted to each neighbourhood by expectation-maximisation on standardised coordinates, one
-component per local peak; it gives the number of components and, by its density, the fixes that stand for the cluster.
+"""Similarity clusters of fixes per subject, set off by distance, by Gaussian mixtures.
+
+Fixes are pooled to distinct positions and these are cut into tiles with a margin, so a subject with a third of all rows is
+spread over its tiles. In a tile positions are reduced to small cells with weight, mean and scatter. Cells within the
+separation distance of each other form a neighbourhood; its cells are standardised and a weighted mixture with regularised
+covariance is fitted by expectation-maximisation, starting from one component per local peak. An information criterion on
+the assigned data decides which components stay apart: the covariance's floor is half the largest diameter, below which
+the criterion never pays for two. A cell belongs to the component most responsible for it, and the cells of a component
+are a candidate. Candidates then pass the exact check of size, diameter and separation (nothing else in the
+neighbourhood). The densest fixes of its component stand for a cluster.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, np_haversine_m
-from ..session import materialize
+from ..operators.graph import components
+from ..session import lookup_join, materialize
 
 #: Cell width in metres; tile size in degrees of latitude and longitude.
 CELL, TILE_LAT, TILE_LON = 25.0, 0.02, 0.03
+#: Positions a task gets on average.
+TASK_SPOTS = 100_000
 _ROW = 512  # cells of a tile's row in a key
 
 
@@ -31,27 +36,11 @@ class ClusterRules:
     least: int = 10  #: fixes
     diameter_m: float = 50.0  #: every two members at most so far apart
     apart_m: float = 80.0  #: every other fix of the subject farther than this from each member
-    spread_m: float = 8.0  #: regularisation: no component is narrower
+    spread_m: float = 25.0  #: regularisation: no component is narrower; half the diameter keeps a narrow place in one
     rounds: int = 6  #: of expectation-maximisation
     typical: int = 3  #: fixes that represent a cluster
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each node's connected component, by hooking roots and doubling pointers."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        open_ = ra != rb
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root
-
-
 def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Indices of the convex hull's corners (monotone chain)."""
     order = np.lexsort((y, x))
@@ -82,11 +71,13 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def _mixture(comp: np.ndarray, w: np.ndarray, mx: np.ndarray, my: np.ndarray, sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray, a: np.ndarray, b: np.ndarray, rules: ClusterRules) -> tuple[np.ndarray, np.ndarray]:
+def _mixture(comp: np.ndarray, w: np.ndarray, mx: np.ndarray, my: np.ndarray, sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray, a: np.ndarray, b: np.ndarray, floor: np.ndarray, rules: ClusterRules) -> tuple[np.ndarray, np.ndarray]:
     """(component of each cell, its log density there) of a mixture fitted to each neighbourhood of weighted cells.
 
     ``a``, ``b``: pairs of cells of a neighbourhood near each other, both ways and with themselves. Coordinates come
-    standardised per neighbourhood; ``sxx``, ``sxy``, ``syy`` are the scatter within cells.
+    standardised per neighbourhood; ``sxx``, ``sxy``, ``syy`` are the scatter within cells, ``floor`` what is added to
+    the variances of a component at each cell, in the same units. The first is the seed cell of the component, or the
+    cell itself where it has none.
     """
     n = len(w)
     top = np.zeros(n)
@@ -111,8 +102,8 @@ def _mixture(comp: np.ndarray, w: np.ndarray, mx: np.ndarray, my: np.ndarray, sx
         cell, k = np.r_[cell, lone[ok]], np.r_[k, heads[at[ok]]]
     m = len(seeds)
     ux, uy = mx[seeds].copy(), my[seeds].copy()
-    reg = (rules.spread_m / CELL) ** 2
-    vxx, vyy, vxy = np.full(m, 1.0 + reg), np.full(m, 1.0 + reg), np.zeros(m)
+    reg = floor[seeds]
+    vxx, vyy, vxy = 1.0 + reg, 1.0 + reg, np.zeros(m)
     share = np.maximum(w[seeds], 1e-9)
     total = np.zeros(n)
     np.add.at(total, comp, w)
@@ -137,7 +128,7 @@ def _mixture(comp: np.ndarray, w: np.ndarray, mx: np.ndarray, my: np.ndarray, sx
     pick = order[np.r_[True, cell[order][1:] != cell[order][:-1]]]
     member, density = np.arange(n), np.full(n, -np.inf)
     member[cell[pick]], density[cell[pick]] = seeds[k[pick]], logp[pick]
-    # Schwarz criterion: two components near each other stay apart only if that is worth their parameters
+    # Schwarz criterion on the assigned data: two components near each other stay apart only if that is worth their parameters
     ka, kb = number[member[a]], number[member[b]]
     near = (ka >= 0) & (kb >= 0) & (ka < kb)
     pairs = np.unique(np.stack([ka[near], kb[near]], axis=1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
@@ -231,20 +222,25 @@ def tile_clusters(a: dict[str, np.ndarray], rules: ClusterRules) -> dict[str, li
     total = np.add.reduceat(pn, s)
     mx, my = np.add.reduceat(pn * x, s) / total, np.add.reduceat(pn * y, s) / total
     dxx, dyy = x - mx[cell_of], y - my[cell_of]
-    sxx, sxy, syy = (np.add.reduceat(pn * q, s) / total / CELL**2 for q in (dxx * dxx, dxx * dyy, dyy * dyy))
-    # standardised: in cells, from the neighbourhood's centre
-    cw = np.bincount(comp, weights=w, minlength=n)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        zx, zy = (mx - (np.bincount(comp, weights=w * mx, minlength=n) / cw)[comp]) / CELL, (my - (np.bincount(comp, weights=w * my, minlength=n) / cw)[comp]) / CELL
+    sxx, sxy, syy = (np.add.reduceat(pn * q, s) / total for q in (dxx * dxx, dxx * dyy, dyy * dyy))
+    # standardised: from the neighbourhood's centre, in its deviations (a cell's width at least)
+    cw = np.maximum(np.bincount(comp, weights=w, minlength=n), 1e-9)
+    zx, zy = mx - (np.bincount(comp, weights=w * mx, minlength=n) / cw)[comp], my - (np.bincount(comp, weights=w * my, minlength=n) / cw)[comp]
+    unit2 = np.maximum(CELL**2, np.bincount(comp, weights=w * (zx * zx + zy * zy + sxx + syy), minlength=n) / cw / 2)[comp]
+    zx, zy, sxx, sxy, syy = zx / np.sqrt(unit2), zy / np.sqrt(unit2), sxx / unit2, sxy / unit2, syy / unit2
     near = heavy[i] & heavy[j] & (comp[i] == comp[j]) & (np.abs(keys[i] // _ROW - keys[j] // _ROW) <= 2) & (np.abs(keys[i] % _ROW - keys[j] % _ROW) <= 2)
     pi, pj = back[i[near]], back[j[near]]
     every = np.arange(len(at))
-    member, density = _mixture(back[comp[at]], w[at], zx[at], zy[at], sxx[at], sxy[at], syy[at], np.r_[pi, pj, every], np.r_[pj, pi, every], rules)
+    member, density = _mixture(back[comp[at]], w[at], zx[at], zy[at], sxx[at], sxy[at], syy[at], np.r_[pi, pj, every], np.r_[pj, pi, every], (rules.spread_m**2 / unit2)[at], rules)
 
-    # --- components of a neighbourhood are one cluster; exact check of its diameter
+    # --- a component's cells are a candidate; exact check: alone in its neighbourhood, and its diameter
+    label = np.full(n, -1)
+    label[at] = at[member]
     n_comp = np.bincount(back[comp[at]][np.unique(member)], minlength=len(at))
-    c_of = comp[cell_of]
-    fine = heavy & tight_of(comp, x0, x1, y0, y1, rules.diameter_m)
+    alone = np.zeros(n, bool)
+    alone[at] = np.bincount(label[at], minlength=n)[label[at]] == np.bincount(comp, minlength=n)[comp[at]]
+    c_of = label[cell_of]
+    fine = alone & tight_of(np.where(label < 0, np.arange(n), label), x0, x1, y0, y1, rules.diameter_m)
     pick = np.flatnonzero(fine[cell_of])
     pick = pick[np.argsort(c_of[pick], kind="stable")]
     if not len(pick):
@@ -306,7 +302,9 @@ def place_clusters(gps: DataFrame, rules: ClusterRules = ClusterRules()) -> Data
     margin = float(np.degrees((rules.diameter_m + rules.apart_m) * 1.15 / EARTH_M))
     wide = F.lit(margin) / F.greatest(F.cos(F.radians(F.abs("lat") + 0.1)), F.lit(0.02))
     tiles = lambda c, m, size: F.explode(F.sequence(F.floor((F.col(c) - m) / size).cast("long"), F.floor((F.col(c) + m) / size).cast("long")))
-    tiled = spots.withColumn("ty", tiles("lat", F.lit(margin), TILE_LAT)).withColumn("tx", tiles("lon", wide, TILE_LON)).repartition("subid", "ty", "tx")
+    spots = materialize(spots)
+    parts = max(1, spots.count() // TASK_SPOTS, spots.sparkSession.sparkContext.defaultParallelism)
+    tiled = spots.withColumn("ty", tiles("lat", F.lit(margin), TILE_LAT)).withColumn("tx", tiles("lon", wide, TILE_LON)).repartition(parts, "subid", "ty", "tx")
 
     schema = "subid long, cluster_key long, size long, lat0 double, lat1 double, lon0 double, lon1 double, typical array<long>, n_components long"
     types = [pa.int64()] * 3 + [pa.float64()] * 4 + [pa.list_(pa.int64()), pa.int64()]
@@ -326,17 +324,13 @@ def cluster_members(gps: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster_key, processed_id) of every member.
 
     A cluster's extent is closed to its subject's other fixes, so members are the fixes inside it; clusters are written
-    to the cells they touch and joined by cell. They are broadcast only if counted to be few; otherwise the fixes of a
-    subject and cell are spread over salted parts.
+    to the cells they touch and joined by cell, sent to all tasks only if their measured size allows it; otherwise the
+    fixes of a subject and cell are spread over salted parts.
     """
     size = 0.002
     clusters = materialize(clusters.select("subid", "cluster_key", "lat0", "lat1", "lon0", "lon1"))
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long")))
     cells = clusters.withColumn("iy", span("lat0", "lat1")).withColumn("ix", span("lon0", "lon1"))
     fixes = gps.filter("lat IS NOT NULL AND lon IS NOT NULL AND subid IS NOT NULL AND processed_id IS NOT NULL").select(F.col("subid").cast("long").alias("subid"), "processed_id", "lat", "lon", F.floor(F.col("lat") / size).cast("long").alias("iy"), F.floor(F.col("lon") / size).cast("long").alias("ix"))
-    if clusters.count() <= 500_000:
-        found = fixes.join(F.broadcast(cells), ["subid", "iy", "ix"])
-    else:
-        salt = 16
-        found = fixes.withColumn("salt", F.pmod(F.xxhash64("processed_id"), F.lit(salt)).cast("int")).join(cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["subid", "iy", "ix", "salt"])
+    found = lookup_join(fixes, cells, ["subid", "iy", "ix"], spread="processed_id", width=96)
     return found.filter("lat BETWEEN lat0 AND lat1 AND lon BETWEEN lon0 AND lon1").select("cluster_key", "processed_id")
