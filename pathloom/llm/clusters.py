@@ -71,20 +71,21 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def _mixture(comp: np.ndarray, w: np.ndarray, mx: np.ndarray, my: np.ndarray, sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray, a: np.ndarray, b: np.ndarray, floor: np.ndarray, rules: ClusterRules) -> tuple[np.ndarray, np.ndarray]:
+def _mixture(comp: np.ndarray, w: np.ndarray, mx: np.ndarray, my: np.ndarray, sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray, a: np.ndarray, b: np.ndarray, touch: np.ndarray, floor: np.ndarray, rules: ClusterRules) -> tuple[np.ndarray, np.ndarray]:
     """(component of each cell, its log density there) of a mixture fitted to each neighbourhood of weighted cells.
 
-    ``a``, ``b``: pairs of cells of a neighbourhood near each other, both ways and with themselves. Coordinates come
+    ``a``, ``b``: pairs of cells of a neighbourhood near each other, both ways and with themselves; ``touch``: those next
+    to each other, of which the heaviest seeds a component. Coordinates come
     standardised per neighbourhood; ``sxx``, ``sxy``, ``syy`` are the scatter within cells, ``floor`` what is added to
     the variances of a component at each cell, in the same units. The first is the seed cell of the component, or the
     cell itself where it has none.
     """
     n = len(w)
     top = np.zeros(n)
-    np.maximum.at(top, a, w[b])
+    np.maximum.at(top, a[touch], w[b[touch]])
     peak = w >= top
     # of equal neighbours the first is the peak
-    tie = (a != b) & (w[a] == w[b]) & peak[a] & peak[b]
+    tie = touch & (a != b) & (w[a] == w[b]) & peak[a] & peak[b]
     peak[np.maximum(a, b)[tie]] = False
     seeds = np.flatnonzero(peak)
     if not len(seeds):
@@ -230,8 +231,9 @@ def tile_clusters(a: dict[str, np.ndarray], rules: ClusterRules) -> dict[str, li
     zx, zy, sxx, sxy, syy = zx / np.sqrt(unit2), zy / np.sqrt(unit2), sxx / unit2, sxy / unit2, syy / unit2
     near = heavy[i] & heavy[j] & (comp[i] == comp[j]) & (np.abs(keys[i] // _ROW - keys[j] // _ROW) <= 2) & (np.abs(keys[i] % _ROW - keys[j] % _ROW) <= 2)
     pi, pj = back[i[near]], back[j[near]]
+    touch = (np.abs(keys[i] // _ROW - keys[j] // _ROW) <= 1)[near] & (np.abs(keys[i] % _ROW - keys[j] % _ROW) <= 1)[near]
     every = np.arange(len(at))
-    member, density = _mixture(back[comp[at]], w[at], zx[at], zy[at], sxx[at], sxy[at], syy[at], np.r_[pi, pj, every], np.r_[pj, pi, every], (rules.spread_m**2 / unit2)[at], rules)
+    member, density = _mixture(back[comp[at]], w[at], zx[at], zy[at], sxx[at], sxy[at], syy[at], np.r_[pi, pj, every], np.r_[pj, pi, every], np.r_[touch, touch, every >= 0], (rules.spread_m**2 / unit2)[at], rules)
 
     # --- a component's cells are a candidate; exact check: alone in its neighbourhood, and its diameter
     label = np.full(n, -1)

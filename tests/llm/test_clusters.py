@@ -76,7 +76,7 @@ def test_the_mixture_decides_the_candidates(monkeypatch):
     whole = found(ClusterRules())
     # two tight lobes of one place: with a floor far below the diameter the criterion keeps them apart
     rng = np.random.default_rng(1)
-    north, east = np.r_[rng.normal(0, 0.7, 200), rng.normal(42, 0.7, 200)].clip(-2, 44) + 500, rng.normal(0, 0.7, 400)
+    north, east = np.r_[rng.normal(0, 0.7, 200), rng.normal(46, 0.7, 200)].clip(-1, 47) + 500, rng.normal(0, 0.7, 400)
     place = arrays(pd.DataFrame({"subid": 1, "lat": 43.0 + np.degrees(north / EARTH_M), "lon": -88.997 + np.degrees(east / EARTH_M), "processed_id": np.arange(400)}))
     assert tile_clusters(place, ClusterRules())["size"] == [400]
     assert tile_clusters(place, ClusterRules(spread_m=0.5))["size"] == []
