@@ -55,14 +55,23 @@ def p8_fill(spark, d):
     return fill_report(p8_packing(spark, d), CAPACITY)
 
 
-@R.query("p10_found")
+# every window of 300 characters of every text, by its hash
+_SPANS = "WITH w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"
+
+
+@R.query("p10_found", f"{_SPANS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b USING (h) WHERE a.doc_id < b.doc_id")
 def p10_found(spark, d):
     return shared_pairs(table(spark, d, "documents"))
 
 
-@R.query("p10_shared")
+@R.query(
+    "p10_shared",
+    f"""{_SPANS}, s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), c AS (SELECT doc_id, i, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS n FROM w SEMI JOIN s USING (h)),
+    t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id), p AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS n FROM w a JOIN w b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id)
+    SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY d.text) AS class_id, coalesce(p.n, 0) AS n_partners, CAST(coalesce(t.n, 0) AS BIGINT) AS shared_chars, round(coalesce(t.n / nullif(length(d.text), 0), 0), 9) AS shared_share FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN p USING (doc_id) WHERE d.text IS NOT NULL""",
+)
 def p10_shared(spark, d):
-    return shared_report(table(spark, d, "documents"))
+    return shared_report(table(spark, d, "documents")).withColumn("shared_share", F.round("shared_share", 9))
 
 
 @R.query("p9_found")

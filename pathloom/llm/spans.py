@@ -113,74 +113,91 @@ def shared_matches(docs: DataFrame, key: str, text: str, span: int, period: int)
     found = docs.select(key, text).mapInArrow(anchors, f"h long, k {kind}, p int")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (h, k, p): pairs of small groups, members of crowded ones."""
-        held: list[np.ndarray] | None = None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pa", pa.int32()), ("pb", pa.int32())])
-
-        def groups(h, k, p, starts, ends):
-            many = ends - starts > 1
-            for s, e in zip(starts[many], ends[many], strict=True):
-                gk, gp = k[s:e], p[s:e]
-                n = len(np.unique(gk))
-                if n < 2:
-                    continue
-                if n > CROWD:
-                    yield gk, np.full(e - s, -1), gp, np.full(e - s, -1, np.int32)
-                else:
-                    i, j = np.nonzero(gk[:, None] < gk[None, :])
-                    yield gk[i], gk[j], gp[i], gp[j]
+        """Rows sorted by (h, k, p): pairs of small groups, members of crowded ones.
+
+        A window stands in a record about once, so of the windows of all records one window's rows are a small part even
+        if it stands in all of them; and a group is held only until it proves crowded, then its rows pass through.
+        """
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shift", pa.int32()), ("pa", pa.int32())])
+        held: list[np.ndarray] | None = None  # the last group, which may go on
+        crowd_h: int | None = None  # the window whose rows pass through
+
+        def members(k, p):
+            return k, np.full(len(k), -1), np.zeros(len(k), np.int32), p
+
+        def group(k, p):
+            n = len(np.unique(k))
+            if n < 2:
+                return None
+            if n > CROWD:
+                return members(k, p)
+            i, j = np.nonzero(k[:, None] < k[None, :])
+            return k[i], k[j], p[j] - p[i], np.zeros(len(i), np.int32)
 
         def batch(parts):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
         for b in batches:
-            if not b.num_rows:
-                continue
             cols = [b.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            h = cols[0]
-            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            held = [c[new[-1] :] for c in cols]  # the last group may go on
-            parts = list(groups(*cols, new[:-1], new[1:])) if len(new) > 1 else []
-            if parts:
-                yield batch(parts)
-        if held is not None and len(held[0]) > 1:
-            parts = list(groups(*held, np.array([0]), np.array([len(held[0])])))
+            parts = []
+            if crowd_h is not None and len(cols[0]):
+                n = int(np.searchsorted(cols[0], crowd_h, side="right")) if cols[0][0] == crowd_h else 0
+                if n:
+                    parts.append(members(cols[1][:n], cols[2][:n]))
+                    cols = [c[n:] for c in cols]
+                if len(cols[0]):
+                    crowd_h = None
+            if len(cols[0]):
+                if held is not None:
+                    cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+                h = cols[0]
+                new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                sizes = np.diff(np.r_[new, len(h)])
+                for s, n in zip(new[:-1].tolist(), sizes[:-1].tolist(), strict=True) if (sizes[:-1] > 1).any() else ():
+                    if n > 1 and (got := group(cols[1][s : s + n], cols[2][s : s + n])) is not None:
+                        parts.append(got)
+                held = [c[new[-1] :] for c in cols]
+                if len(np.unique(held[1])) > CROWD:
+                    parts.append(members(held[1], held[2]))
+                    crowd_h, held = int(held[0][0]), None
             if parts:
                 yield batch(parts)
+        if held is not None and (got := group(held[1], held[2])) is not None:
+            yield batch([got])
 
     ordered = found.repartition("h").sortWithinPartitions("h", "k", "p")
-    links = materialize(ordered.mapInArrow(meet, "a long, b long, pa int, pb int"))
-    lines = links.filter("b >= 0").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("shift")).agg(F.collect_set("pa").alias("at"))
+    links = materialize(ordered.mapInArrow(meet, "a long, b long, shift int, pa int"))
+    lines = links.filter("b >= 0").select("a", "b", "shift").distinct()
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL")
     crowd = links.filter("b < 0").select(F.col("a").alias("k"), F.col("pa").alias("p"))
     if crowd.limit(1).count():
-        lines = lines.unionByName(_tell_apart(crowd, texts, span, width))
+        lines = lines.unionByName(_tell_apart(crowd, texts, span, width)).distinct()
+    # a pair's texts meet once, whatever its shifts
+    lines = lines.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"))
 
     # texts of the few records in candidate pairs only, written once
     lines = materialize(lines)
     wanted = materialize(lines.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    wanted = F.broadcast(wanted) if small(wanted) else wanted
-    texts = materialize(texts.join(wanted, "k", "left_semi"))
+    texts = materialize(texts.join(F.broadcast(wanted) if small(wanted) else wanted, "k", "left_semi"))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, shift, at, x, y in zip(pdf["a"], pdf["b"], pdf["shift"], pdf["at"], pdf["ta"], pdf["tb"], strict=True):
+            for a, b, shifts, x, y in zip(pdf["a"], pdf["b"], pdf["shifts"], pdf["ta"], pdf["tb"], strict=True):
                 x, y = _codes(x), _codes(y)
-                lo, hi = max(0, -shift), min(len(x), len(y) - shift)  # where both texts have characters, in a's positions
-                if hi - lo < span:
-                    continue
-                same = np.r_[False, x[lo:hi] == y[lo + shift : hi + shift], False]
-                turn = np.flatnonzero(same[1:] != same[:-1])
-                s, e = turn[::2], turn[1::2]
-                keep = e - s >= span
-                out += [(a, b, lo + i, lo + i + shift, j - i) for i, j in zip(s[keep].tolist(), e[keep].tolist(), strict=True)]
+                for shift in map(int, shifts):
+                    lo, hi = max(0, -shift), min(len(x), len(y) - shift)  # where both texts have characters, in a's positions
+                    if hi - lo < span:
+                        continue
+                    same = np.r_[False, x[lo:hi] == y[lo + shift : hi + shift], False]
+                    turn = np.flatnonzero(same[1:] != same[:-1])
+                    s, e = turn[::2], turn[1::2]
+                    keep = e - s >= span
+                    out += [(a, b, lo + i, lo + i + shift, j - i) for i, j in zip(s[keep].tolist(), e[keep].tolist(), strict=True)]
             yield pd.DataFrame(out, columns=["a", "b", "start_a", "start_b", "length"]).astype("int64")
 
     ta, tb = texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), texts.select(F.col("k").alias("b"), F.col("t").alias("tb"))
-    return lines.join(ta, "a").join(tb, "b").select("a", "b", "shift", "at", "ta", "tb").mapInPandas(extend, "a long, b long, start_a long, start_b long, length long")
+    return lines.join(ta, "a").join(tb, "b").select("a", "b", "shifts", "ta", "tb").mapInPandas(extend, "a long, b long, start_a long, start_b long, length long")
 
 
 def _tell_apart(crowd: DataFrame, texts: DataFrame, span: int, width: int) -> DataFrame:
@@ -202,7 +219,7 @@ def _tell_apart(crowd: DataFrame, texts: DataFrame, span: int, width: int) -> Da
     rows = crowd.groupBy("k").agg(F.collect_set("p").alias("at")).join(texts, "k").select("k", "at", "t").mapInArrow(spans, "h long, k long, p int")
     rows = materialize(rows)
     left, right = rows.select("h", F.col("k").alias("a"), F.col("p").alias("pa")), rows.select("h", F.col("k").alias("b"), F.col("p").alias("pb"))
-    return left.join(right, "h").filter("a < b").groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("shift")).agg(F.collect_set("pa").alias("at"))
+    return left.join(right, "h").filter("a < b").select("a", "b", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
 
 
 def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -210,6 +227,7 @@ def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
     h = docs.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.md5(text).alias("h"))
     # partial minima first, so a text in a third of all records is no single task's
     groups = h.groupBy("h").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("h", "leader")
+    groups = materialize(groups)
     return materialize(h.join(F.broadcast(groups) if small(groups) else groups, "h").select("doc", "leader"))
 
 
