@@ -10,92 +10,97 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import small
+from ..session import materialize
 
-#: Keys in an accumulator block, and blocks merged at a step of the reduction.
-BLOCK, FAN_IN = 4096, 32
-#: Up to so many distinct keys the dictionary (8 bytes a key) is sent to every task.
-DENSE_KEYS = 1_000_000
+#: Blocks that keys fall into by hash, blocks merged at a step of the reduction, and keys a task holds before it hands them on.
+BLOCKS, FAN_IN, HELD_KEYS = 4096, 32, 1_000_000
 
-_PARTS = T.StructType([T.StructField("block", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("rows", "first", "last")), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("total",))])
+_FIELDS = {"keys": T.LongType(), "rows": T.LongType(), "first": T.LongType(), "last": T.LongType(), "total": T.DoubleType()}
+_PARTS = T.StructType([T.StructField("block", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(c, T.ArrayType(t)) for c, t in _FIELDS.items())])
 _NONE_FIRST, _NONE_LAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
+Block = dict[str, np.ndarray]
 
-def _merge(parts: list[dict]) -> dict:
-    return {"rows": np.sum([p["rows"] for p in parts], axis=0), "first": np.min([p["first"] for p in parts], axis=0), "last": np.max([p["last"] for p in parts], axis=0), "total": np.sum([p["total"] for p in parts], axis=0)}
 
+def _reduce(parts: list[Block]) -> Block:
+    """Accumulators of several dictionaries as those of their union: keys are encoded, arrays added by code."""
+    keys, code = np.unique(np.concatenate([p["keys"] for p in parts]), return_inverse=True)
+    cat = lambda c: np.concatenate([p[c] for p in parts])
+    first, last, rows = np.full(len(keys), _NONE_FIRST), np.full(len(keys), _NONE_LAST), np.zeros(len(keys), np.int64)
+    np.minimum.at(first, code, cat("first"))
+    np.maximum.at(last, code, cat("last"))
+    np.add.at(rows, code, cat("rows"))
+    return {"keys": keys, "rows": rows, "first": first, "last": last, "total": np.bincount(code, weights=cat("total"), minlength=len(keys))}
 
-def _emit(block: int, node: int, p: dict) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    s = to_arrow_schema(_PARTS)
-    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([node]), *(pa.array([p[f.name]], f.type) for f in list(s)[2:])], schema=s)
+def _count(k: np.ndarray, u: np.ndarray, known: np.ndarray, a: np.ndarray) -> Block:
+    """Accumulators of a batch of rows."""
+    keys, code = np.unique(k, return_inverse=True)
+    first, last = np.full(len(keys), _NONE_FIRST), np.full(len(keys), _NONE_LAST)
+    np.minimum.at(first, code[known], u[known])
+    np.maximum.at(last, code[known], u[known])
+    return {"keys": keys, "rows": np.bincount(code, minlength=len(keys)), "first": first, "last": last, "total": np.bincount(code, weights=a, minlength=len(keys))}
+
+
+def _by_block(p: Block, node: int) -> pa.RecordBatch:
+    """One row per block of keys."""
+    h = (p["keys"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
+    block = (h % np.uint64(BLOCKS)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    offsets = pa.array(np.r_[start, len(block)], pa.int32())
+    schema = to_arrow_schema(_PARTS)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(p[c][order], schema.field(c).type.value_type)).cast(schema.field(c).type) for c in _FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array(np.full(len(start), node)), *lists], schema=schema)
+
+
+def _blocks(table: pa.Table) -> list[Block]:
+    return [{c: np.asarray(table.column(c)[i].values) for c in _FIELDS} for i in range(table.num_rows)]
 
 
 def key_totals(df: DataFrame, key: str, us: str | None = None, amount: str | None = None) -> DataFrame:
     """(key, rows, first_us, last_us, total): rows of each key, first and last ``us``, sum of the non-null ``amount``.
 
-    ``key`` is integral. Its values are dictionary-encoded; every input split, of equal size whatever its keys, counts
-    into dense arrays with ``bincount`` and scatter-reduce, and the arrays are summed block by block in a reduction
-    tree, so no task sees the rows of a key. Rows with a null key are left out. Null times and amounts count as rows
-    only. With more than ``DENSE_KEYS`` keys the arrays would be sparse; then partial aggregates by key are summed in
-    two steps. Empty input gives no rows.
+    ``key`` is integral. Every input split, of equal size whatever its keys, encodes the keys it meets by a dictionary of
+    its own and counts into dense arrays by ``bincount`` and scatter-reduce; arrays go on in blocks of keys and are summed
+    in a reduction tree, so no task sees the rows of a key and none the keys of all. One pass over the table, the same
+    for few and for many keys. Rows with a null key are left out. Null times and amounts count as rows only. Empty input
+    gives no rows.
     """
     us_c = F.col(us) if us else F.lit(None).cast("long")
     am_c = F.col(amount).cast("double") if amount else F.lit(None).cast("double")
     rows = df.select(F.col(key).cast("long").alias("k"), us_c.cast("long").alias("u"), am_c.alias("a")).filter("k IS NOT NULL")
-    spark = df.sparkSession
-    keys = rows.select("k").distinct()
-    if not small(keys, DENSE_KEYS):
-        salted = rows.withColumn("s", F.pmod(F.xxhash64("u", "a"), F.lit(FAN_IN))).groupBy("k", "s")
-        part = salted.agg(F.count("*").alias("rows"), F.min("u").alias("first_us"), F.max("u").alias("last_us"), F.sum("a").alias("total"))
-        return part.groupBy(F.col("k").alias(key)).agg(F.sum("rows").alias("rows"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
-    codes = np.sort(np.array([r[0] for r in keys.collect()], np.int64))
-    shared = spark.sparkContext.broadcast(codes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
-        acc: dict[int, dict] = {}
+        held, node = [], TaskContext.get().partitionId()
         for b in batches:
-            code = np.searchsorted(names, b.column("k").to_numpy())
-            u, a = b.column("u"), b.column("a")
-            tu = u.fill_null(0).to_numpy()
-            known = u.is_valid().to_numpy(zero_copy_only=False)
-            ta = np.nan_to_num(a.to_numpy(zero_copy_only=False).astype(float))
-            for block in np.unique(code // BLOCK):
-                p = acc.setdefault(int(block), {"rows": np.zeros(BLOCK, np.int64), "first": np.full(BLOCK, _NONE_FIRST), "last": np.full(BLOCK, _NONE_LAST), "total": np.zeros(BLOCK)})
-                m = code // BLOCK == block
-                c = code[m] - block * BLOCK
-                p["rows"] += np.bincount(c, minlength=BLOCK)
-                p["total"] += np.bincount(c, weights=ta[m], minlength=BLOCK)
-                mk = known[m]
-                np.minimum.at(p["first"], c[mk], tu[m][mk])
-                np.maximum.at(p["last"], c[mk], tu[m][mk])
-        for block, p in acc.items():
-            yield _emit(block, TaskContext.get().partitionId(), p)
-
-    def reduce(table: pa.Table) -> pa.Table:
-        parts = [{c: np.array(r[c]) for c in ("rows", "first", "last", "total")} for r in table.to_pylist()]
-        node = table.column("node")[0].as_py() // FAN_IN
-        return pa.Table.from_batches([_emit(table.column("block")[0].as_py(), node, _merge(parts))])
+            u = b.column("u")
+            held.append(_count(b.column("k").to_numpy(), u.fill_null(0).to_numpy(), u.is_valid().to_numpy(zero_copy_only=False), np.nan_to_num(b.column("a").to_numpy(zero_copy_only=False).astype(float))))
+            if len(held) >= FAN_IN:
+                held = [_reduce(held)]
+                if len(held[0]["keys"]) > HELD_KEYS:
+                    yield _by_block(held.pop(), node)
+        if held:
+            yield _by_block(_reduce(held), node)
+
+    def merge(table: pa.Table) -> pa.Table:
+        up = table.column("node")[0].as_py() // FAN_IN
+        return pa.Table.from_batches([_by_block(_reduce(_blocks(table)), up)])
 
     parts = rows.mapInArrow(count, _PARTS)
-    n = max(1, rows.rdd.getNumPartitions())
-    while True:
-        parts = parts.withColumn("up", F.floor(F.col("node") / FAN_IN)).groupBy("block", "up").applyInArrow(lambda t: reduce(t.drop_columns("up")), _PARTS)
+    n = max(2, rows.rdd.getNumPartitions())
+    while n > 1:
+        parts = parts.withColumn("up", F.floor(F.col("node") / FAN_IN)).groupBy("block", "up").applyInArrow(lambda t: merge(t.drop_columns("up")), _PARTS)
         n = -(-n // FAN_IN)
-        if n == 1:
-            break
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
         for b in batches:
-            for r in b.to_pylist():
-                got = np.flatnonzero(np.array(r["rows"]))
-                first, last = np.array(r["first"])[got], np.array(r["last"])[got]
+            for p in _blocks(pa.Table.from_batches([b])):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[r["block"] * BLOCK + got]), pa.array(np.array(r["rows"])[got]), pa.array(first, mask=first == _NONE_FIRST), pa.array(last, mask=last == _NONE_LAST), pa.array(np.array(r["total"], float)[got])],
+                    [pa.array(p["keys"]), pa.array(p["rows"]), pa.array(p["first"], mask=p["first"] == _NONE_FIRST), pa.array(p["last"], mask=p["last"] == _NONE_LAST), pa.array(p["total"], pa.float64())],
                     names=[key, "rows", "first_us", "last_us", "total"],
                 )
 
@@ -103,6 +108,7 @@ def key_totals(df: DataFrame, key: str, us: str | None = None, amount: str | Non
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows with a key; (key, rows)."""
-    n = df.filter(F.col(key).isNotNull()).count()
-    return key_totals(df, key).filter(F.col("rows") >= n * share).select(key, "rows")
+    """Keys that hold at least ``share`` of all rows with a key; (key, rows). One pass: the total is the sum of the arrays."""
+    totals = materialize(key_totals(df, key))
+    n = totals.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    return totals.filter(F.col("rows") >= n * share).select(key, "rows")

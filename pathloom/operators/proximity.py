@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_M, haversine_m, mercator_distance
 from ..session import lookup_join, materialize
 
-#: Coverage cells have 2**-level degrees; regions are covered from the coarsest to the finest of these levels.
-COARSEST, FINEST = 5, 10
+#: Coverage cells have 2**-level degrees; regions are covered by cells as coarse as they allow, down to this level.
+FINEST = 10
+#: Beyond this latitude points share one column of cells, and its number.
+POLAR, POLE = 89.0, -(1 << 40)
 #: Cells are sent to all tasks only up to this measured size; beyond it probes of a cell are spread over SALT parts.
 BROADCAST_BYTES, SALT = 128 << 20, 16
 
@@ -73,14 +75,16 @@ def _touches(box: tuple[float, float, float, float], segs: np.ndarray) -> np.nda
     return near
 
 
-def coverage(rings: list[np.ndarray], coarsest: int = COARSEST, finest: int = FINEST) -> Iterator[tuple[int, int, int, list[float] | None]]:
+def coverage(rings: list[np.ndarray], finest: int = FINEST) -> Iterator[tuple[int, int, int, list[float] | None]]:
     """(level, ix, iy, edges) of cells that cover a region; edges is None inside, else those an exact test needs."""
     if not rings:
         return
     every, segs = _edges(rings), np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings])
     lo, hi = np.min([r.min(0) for r in rings], axis=0), np.max([r.max(0) for r in rings], axis=0)
-    size = 2.0**-coarsest
-    todo = [(coarsest, ix, iy, segs) for ix in range(math.floor(lo[0] / size), math.floor(hi[0] / size) + 1) for iy in range(math.floor(lo[1] / size), math.floor(hi[1] / size) + 1)]
+    # from the level at which the region's box is a cell or two wide
+    first = min(finest, math.floor(-math.log2(max(float((hi - lo).max()), 1e-9))))
+    size = 2.0**-first
+    todo = [(first, ix, iy, segs) for ix in range(math.floor(lo[0] / size), math.floor(hi[0] / size) + 1) for iy in range(math.floor(lo[1] / size), math.floor(hi[1] / size) + 1)]
     while todo:
         level, ix, iy, s = todo.pop()
         size = 2.0**-level
@@ -98,7 +102,7 @@ def coverage(rings: list[np.ndarray], coarsest: int = COARSEST, finest: int = FI
                 yield level, ix, iy, need.ravel().tolist()
 
 
-def region_cells(regions: DataFrame, keys: list[str], geom: str = "geom", coarsest: int = COARSEST, finest: int = FINEST) -> DataFrame:
+def region_cells(regions: DataFrame, keys: list[str], geom: str = "geom", finest: int = FINEST) -> DataFrame:
     """Coverage cells of regions given as well-known text: (keys..., level, ix, iy, covers).
 
     ``covers`` holds for each text of a key that touches the cell its edges, or an empty array where the cell lies
@@ -109,7 +113,7 @@ def region_cells(regions: DataFrame, keys: list[str], geom: str = "geom", coarse
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for *key, wkt in pdf.itertuples(index=False, name=None):
-                cells = list(coverage(rings_of(wkt), coarsest, finest))
+                cells = list(coverage(rings_of(wkt), finest))
                 if cells:
                     out = pd.DataFrame(cells, columns=["level", "ix", "iy", "edges"])
                     out["edges"] = [e or [] for e in out["edges"]]
@@ -118,6 +122,8 @@ def region_cells(regions: DataFrame, keys: list[str], geom: str = "geom", coarse
                     yield out[[*keys, "level", "ix", "iy", "edges"]]
 
     schema = ", ".join(f"`{k}` {regions.schema[k].dataType.simpleString()}" for k in keys) + ", level int, ix long, iy long, edges array<double>"
+    # each region is a task's work of its own, however few bytes it has
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
     return rows.mapInPandas(cover, schema).groupBy(*keys, "level", "ix", "iy").agg(F.collect_list("edges").alias("covers"))
 
 
@@ -127,7 +133,6 @@ def _probe_join(probes: DataFrame, cells: DataFrame, on: list[str], payload: Col
     Otherwise both sides are shuffled, with the probes of a cell spread over ``SALT`` parts and the cells repeated for
     each, so a cell with a third of all probes is no single task's. ``payload`` is the number of doubles in a cell's row.
     """
-    cells = materialize(cells)
     n = cells.agg((F.count("*") * 100 + F.coalesce(F.sum(payload), F.lit(0)) * 8).alias("n")).first()["n"]
     if n <= BROADCAST_BYTES:
         return probes.join(F.broadcast(cells), on)
@@ -135,16 +140,18 @@ def _probe_join(probes: DataFrame, cells: DataFrame, on: list[str], payload: Col
     return salted.join(cells.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*on, "__salt"]).drop("__salt")
 
 
-def in_regions(points: DataFrame, regions: DataFrame, point_key: str, region_keys: list[str], lon: str = "lon", lat: str = "lat", geom: str = "geom", coarsest: int = COARSEST, finest: int = FINEST) -> DataFrame:
+def in_regions(points: DataFrame, regions: DataFrame, point_key: str, region_keys: list[str], lon: str = "lon", lat: str = "lat", geom: str = "geom", finest: int = FINEST) -> DataFrame:
     """(point_key, region_keys...) for each point in each region that contains it; holes don't contain.
 
     A region key with several texts contains what any of them contains, and comes out once a point. Points with a null
     position or key match nothing; null or unreadable geometries contain nothing; empty tables give no rows.
     """
-    cells = region_cells(regions, region_keys, geom, coarsest, finest)
+    cells = materialize(region_cells(regions, region_keys, geom, finest))
+    levels = [r["level"] for r in cells.select("level").distinct().orderBy("level").collect()]  # at most `finest` and a few
     p = points.filter(F.col(point_key).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(point_key).alias("__p"), F.col(lon).alias("__x"), F.col(lat).alias("__y"))
-    level = F.explode(F.array(*(F.lit(k) for k in range(coarsest, finest + 1))))
+    level = F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>"))
     scale = F.pow(F.lit(2.0), F.col("level"))
+    # a probe for every level that any region is covered at
     probes = p.withColumn("level", level).select("__p", "__x", "__y", "level", F.floor(F.col("__x") * scale).cast("long").alias("ix"), F.floor(F.col("__y") * scale).cast("long").alias("iy"))
     found = _probe_join(probes, cells, ["level", "ix", "iy"], F.aggregate("covers", F.lit(0), lambda acc, x: acc + F.size(x)))
 
@@ -169,6 +176,26 @@ def point_of(geom: str = "geom"):
     return part(1), part(2)
 
 
+def _circle_cells(objects: DataFrame, lon: str, lat: str, reach: float, size: float, ix: str, iy: str) -> DataFrame:
+    """Objects written to all cells that the circle of ``reach`` degrees about them can touch, also over the 180th meridian
+    and over the poles."""
+    x, y = F.col(lon), F.col(lat)
+    wide = F.least(F.lit(180.0), F.lit(reach) / F.cos(F.radians(F.least(F.abs(y) + reach, F.lit(POLAR)))))
+    none = F.array().cast("array<bigint>")
+
+    def columns(turn: float):
+        lo, hi = F.greatest(x + turn - wide, F.lit(-180.0)), F.least(x + turn + wide, F.lit(180.0))
+        return F.when(lo <= hi, F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))).otherwise(none)
+
+    polar = F.when(F.abs(y) + reach >= POLAR, F.array(F.lit(POLE))).otherwise(none)
+    across = F.array_distinct(F.concat(columns(0.0), columns(360.0), columns(-360.0), polar))
+    return objects.withColumn(ix, F.explode(across)).withColumn(iy, F.explode(F.sequence(F.floor((y - reach) / size).cast("long"), F.floor((y + reach) / size).cast("long"))))
+
+
+def _point_cell(lon: str, lat: str, size: float, ix: str, iy: str) -> list[Column]:
+    return [F.when(F.abs(F.col(lat)) >= POLAR, F.lit(POLE)).otherwise(F.floor(F.col(lon) / size).cast("long")).alias(ix), F.floor(F.col(lat) / size).cast("long").alias(iy)]
+
+
 def near_points(points: DataFrame, objects: DataFrame, point_key: str, object_keys: list[str], radius_m: float, lon: str = "lon", lat: str = "lat", object_lon: str = "lon", object_lat: str = "lat") -> DataFrame:
     """(point_key, object_keys...) for each object at most ``radius_m`` (great circle) from a point.
 
@@ -179,10 +206,9 @@ def near_points(points: DataFrame, objects: DataFrame, point_key: str, object_ke
     size = math.degrees(radius_m / EARTH_M) * 1.5
     reach = math.degrees(radius_m / EARTH_M) * 1.000001
     o = objects.filter(F.col(object_lon).isNotNull() & F.col(object_lat).isNotNull()).select(*object_keys, F.col(object_lon).alias("__ox"), F.col(object_lat).alias("__oy")).distinct()
-    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("__oy")) + reach, F.lit(89.9)))), F.lit(1e-3))
-    span = lambda c, r: F.explode(F.sequence(F.floor((F.col(c) - r) / size).cast("long"), F.floor((F.col(c) + r) / size).cast("long")))
-    cells = o.withColumn("ix", span("__ox", wide)).withColumn("iy", span("__oy", F.lit(reach))).groupBy("ix", "iy", *object_keys).agg(F.collect_list(F.struct("__ox", "__oy")).alias("spots"))
-    p = points.filter(F.col(point_key).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(point_key).alias("__p"), F.col(lon).alias("__x"), F.col(lat).alias("__y"), F.floor(F.col(lon) / size).cast("long").alias("ix"), F.floor(F.col(lat) / size).cast("long").alias("iy"))
+    cells = _circle_cells(o, "__ox", "__oy", reach, size, "ix", "iy").groupBy("ix", "iy", *object_keys).agg(F.collect_list(F.struct("__ox", "__oy")).alias("spots"))
+    cells = materialize(cells)
+    p = points.filter(F.col(point_key).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(point_key).alias("__p"), F.col(lon).alias("__x"), F.col(lat).alias("__y"), *_point_cell(lon, lat, size, "ix", "iy"))
     found = _probe_join(p, cells, ["ix", "iy"], 2 * F.size("spots"))
     hit = found.filter(F.exists("spots", lambda s: haversine_m(F.col("__x"), F.col("__y"), s["__ox"], s["__oy"]) <= radius_m))
     return hit.select(F.col("__p").alias(point_key), *object_keys)
@@ -198,10 +224,9 @@ def radius_join(points: DataFrame, objects: DataFrame, radius_m: float, by: list
     reach = math.degrees(radius_m / EARTH_M) * 1.000001
     size = reach * 1.5
     here = lambda df, x, y: df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(object_lat)) + reach, F.lit(89.9)))), F.lit(1e-3))
-    span = lambda c, r: F.explode(F.sequence(F.floor((F.col(c) - r) / size).cast("long"), F.floor((F.col(c) + r) / size).cast("long")))
-    o = here(objects, object_lon, object_lat).withColumn("__ix", span(object_lon, wide)).withColumn("__iy", span(object_lat, F.lit(reach)))
-    p = here(points, lon, lat).withColumns({"__ix": F.floor(F.col(lon) / size).cast("long"), "__iy": F.floor(F.col(lat) / size).cast("long")})
+    o = _circle_cells(here(objects, object_lon, object_lat), object_lon, object_lat, reach, size, "__ix", "__iy")
+    p = here(points, lon, lat)
+    p = p.select(*p.columns, *_point_cell(lon, lat, size, "__ix", "__iy"))
     dist = {"geodesic": haversine_m, "mercator": mercator_distance}[metric](lon, lat, object_lon, object_lat)
     found = lookup_join(p, o, [*by, "__ix", "__iy"], spread=lat, width=32 * (len(objects.columns) + 2))
     return found.withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("__ix", "__iy")

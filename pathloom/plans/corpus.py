@@ -23,10 +23,12 @@ def p1_found(spark, d):
 
 @R.query(
     "p1_subject_totals",
-    "SELECT subid, count(*) AS n_fixes, min(time) AS first_fix, max(time) AS last_fix, round(coalesce(sum(dist_miles) FILTER (WHERE dist_miles >= 0), 0), 2) AS miles FROM processed_gps GROUP BY subid",
+    "SELECT subid, count(*) AS n_fixes, min(time) AS first_fix, max(time) AS last_fix, round(coalesce(sum(dist_miles) FILTER (WHERE dist_miles >= 0 AND dist_miles <= 150 * dwell_time_seconds / 3600.0::DOUBLE), 0), 2) AS miles FROM processed_gps GROUP BY subid",
 )
 def p1_subject_totals(spark, d):
-    gps = table(spark, d, "processed_gps").select("subid", micros("time").alias("us"), F.when(F.col("dist_miles") >= 0, F.col("dist_miles")).alias("miles"))
+    # path length without steps that would need more than 150 miles an hour
+    possible = (F.col("dist_miles") >= 0) & (F.col("dist_miles") <= 150 * F.col("dwell_time_seconds") / 3600)
+    gps = table(spark, d, "processed_gps").select("subid", micros("time").alias("us"), F.when(possible, F.col("dist_miles")).alias("miles"))
     t = key_totals(gps, "subid", "us", "miles")
     return t.select(F.col("subid").cast("smallint").alias("subid"), F.col("rows").alias("n_fixes"), from_micros("first_us").alias("first_fix"), from_micros("last_us").alias("last_fix"), F.round("total", 2).alias("miles"))
 
