@@ -22,6 +22,8 @@ from ..session import lookup_join, materialize
 
 #: Coverage cells have 2**-level degrees; regions are covered by cells as coarse as they allow, down to this level.
 FINEST = 10
+#: and at most so many levels below the region's own size, so a region has a bounded number of cells along its rim.
+DEPTH = 6
 #: Beyond this latitude points share one column of cells, and its number.
 POLAR, POLE = 89.0, -(1 << 40)
 #: Cells are sent to all tasks only up to this measured size; beyond it probes of a cell are spread over SALT parts.
@@ -83,6 +85,7 @@ def coverage(rings: list[np.ndarray], finest: int = FINEST) -> Iterator[tuple[in
     lo, hi = np.min([r.min(0) for r in rings], axis=0), np.max([r.max(0) for r in rings], axis=0)
     # from the level at which the region's box is a cell or two wide
     first = min(finest, math.floor(-math.log2(max(float((hi - lo).max()), 1e-9))))
+    finest = min(finest, first + DEPTH)
     size = 2.0**-first
     todo = [(first, ix, iy, segs) for ix in range(math.floor(lo[0] / size), math.floor(hi[0] / size) + 1) for iy in range(math.floor(lo[1] / size), math.floor(hi[1] / size) + 1)]
     while todo:
