@@ -21,6 +21,8 @@ from ..session import materialize, small
 
 #: More records than this on one window are told apart by longer windows instead of being paired at once.
 CROWD = 24
+#: Windows a task gets on average.
+TASK_WINDOWS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -165,7 +167,10 @@ def shared_matches(docs: DataFrame, key: str, text: str, span: int, period: int)
         if held is not None and (got := group(held[1], held[2])) is not None:
             yield batch([got])
 
-    ordered = found.repartition("h").sortWithinPartitions("h", "k", "p")
+    # by the number of windows, so that a task's share of them is bounded
+    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first()["n"]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(chars * len(cover) / period / TASK_WINDOWS))
+    ordered = found.repartition(parts, "h").sortWithinPartitions("h", "k", "p")
     links = materialize(ordered.mapInArrow(meet, "a long, b long, shift int, pa int"))
     lines = links.filter("b >= 0").select("a", "b", "shift").distinct()
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL")
