@@ -5,16 +5,22 @@ Sinks write to a folder beside the checkpoints (see :func:`pathloom.session.work
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as X
 from ..operators import display as V
+from ..operators import polygons as P
 from ..operators import relational as rel
+from ..operators.proximity import point_of, rings_of
 from ..session import work_folder
 from ..sources import catalog as C
 from ..sources import files as S
+from ..sources import layers
+from ..streaming import activity
+from . import spatial
 from .registry import Registry, table
 
 R = Registry()
@@ -48,6 +54,40 @@ def s3(spark, d):
     return S.read_csv_types(spark, _csv(spark, d, "locations", "subid", "lat", "lon", "utc"), "cd-d")
 
 
+def _single_rings(spark, d):
+    return P.measures(table(spark, d, "osm_landuse"), ["osm_type", "osm_id"]).filter("n_rings = 1")
+
+
+@R.query("s4_geopackage_layer", spatial.R.sql["j13_centroids"])
+def s4(spark, d):
+    # the regions are few at every scale; a layer is one file
+    path = f"{_folder(spark)}.gpkg"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    t = _single_rings(spark, d).select("osm_type", "osm_id", F.format_string("POINT (%.12f %.12f)", "cx", "cy").alias("geometry"))
+    layers.write_geopackage(t.toPandas(), path, "centres")
+    x, y = point_of("geometry")
+    return layers.read_layer(spark, path, "osm_type string, osm_id long", "centres").select("osm_type", "osm_id", F.round(x, 7).alias("cx"), F.round(y, 7).alias("cy"))
+
+
+@R.query("s5_shapefile", spatial.R.sql["j12_areas"])
+def s5(spark, d):
+    path = f"{_folder(spark)}.shp"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    t = table(spark, d, "osm_landuse").join(_single_rings(spark, d), ["osm_type", "osm_id"], "left_semi").select("osm_type", "osm_id", "geom").distinct()
+    layers.write_shapefile([({"osm_type": r["osm_type"], "osm_id": r["osm_id"]}, [x.tolist() for x in rings_of(r["geom"])]) for r in t.collect()], path)
+    got = layers.read_layer(spark, path, "osm_type string, osm_id string").withColumn("osm_id", F.col("osm_id").cast("long"))
+    return P.measures(got, ["osm_type", "osm_id"], "geometry").select("osm_type", "osm_id", F.round(F.col("area_mercator") / 1e6, 6).alias("sqkm"))
+
+
+@R.query("s8_map_import", spatial.R.sql["j14_tag_rules"])
+def s8(spark, d):
+    path = _folder(spark)
+    for name, features in zip(("poi", "landuse"), P.map_features(spatial.map_objects(spark, d)), strict=True):
+        S.overwrite(features, f"{path}/{name}", sort=["class", "type"])
+    read = lambda n: spark.read.parquet(f"{path}/{n}").groupBy(F.lit(n).alias("layer"), "class", "type").agg(F.count("*").alias("n"))
+    return read("poi").unionByName(read("landuse"))
+
+
 @R.query("s6_sql_text", "SELECT subid, count(*) AS n, min(lat) AS south FROM raw_gps WHERE lat > 0 GROUP BY subid")
 def s6(spark, d):
     return spark.sql("SELECT subid, count(*) AS n, min(lat) AS south FROM {t} WHERE lat > 0 GROUP BY subid", t=table(spark, d, "raw_gps"))
@@ -206,3 +246,27 @@ def v5_objects(spark, d):
 def v6(spark, d):
     layers = [table(spark, d, n).select("subid", "lat", "lon") for n in ("processed_gps", "locations")]
     return rel.across(V.bounds(layers[0].unionByName(layers[1]), ["subid"]), "^[xy]m", lambda c: F.round(c, 6))
+
+
+# --- streaming forms, run over the whole table as a stream that ends
+
+
+@R.query("n1_stream_sessions", "WITH g AS (SELECT subid, processed_id, time, CASE WHEN time - lag(time) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS part FROM processed_gps WINDOW w AS (PARTITION BY subid ORDER BY time, processed_id)), s AS (SELECT *, sum(part) OVER (PARTITION BY subid ORDER BY time, processed_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT subid, epoch_us(min(time)) AS start_us, epoch_us(max(time)) AS end_us, count(*) AS n_fixes FROM s GROUP BY subid, session")
+def n1(spark, d):
+    fixes = activity.file_stream(spark, f"{d}/processed_gps.parquet").select("subid", F.col("time").cast("timestamp").alias("ts"))
+    # a session window closes when its gap is full; exactly 30 minutes don't part two fixes
+    path = activity.run_to_end(activity.session_counts(fixes, "1800.000001 seconds"), _folder(spark), "complete")
+    return spark.read.parquet(path).select("subid", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_fixes")
+
+
+@R.query("n2_stream_sliding_counts", "SELECT subid, epoch_us(e::TIMESTAMP - INTERVAL 2 DAY) AS start_us, count(*) AS n_fixes FROM (SELECT subid, unnest([CAST(time AS DATE) + 1, CAST(time AS DATE) + 2]) AS e FROM processed_gps) GROUP BY ALL")
+def n2(spark, d):
+    fixes = activity.file_stream(spark, f"{d}/processed_gps.parquet").select("subid", F.col("time").cast("timestamp").alias("ts"))
+    path = activity.run_to_end(activity.sliding_counts(fixes, "2 days", "1 day"), _folder(spark), "complete")
+    return spark.read.parquet(path).select("subid", F.unix_micros("start").alias("start_us"), "n_fixes")
+
+
+@R.query("n3_stream_stays")
+def n3(spark, d):
+    fixes = activity.file_stream(spark, f"{d}/processed_gps.parquet").select("subid", "lat", "lon", F.col("time").cast("timestamp").alias("ts"))
+    return spark.read.parquet(activity.run_to_end(activity.stays(fixes), _folder(spark), "append"))

@@ -165,3 +165,31 @@ def write_geopackage(pdf: pd.DataFrame, path: str, layer: str, geom: str = "geom
         con.execute(f'CREATE TABLE "{layer}" ({cols})')
         blob = [struct.pack("<2sBBi", b"GP", 0, 1, 4326) + struct.pack("<BI2d", 1, 1, *map(float, g[g.index("(") + 1 : -1].split())) if isinstance(g, str) else None for g in pdf[geom]]
         con.executemany(f'INSERT INTO "{layer}" VALUES ({", ".join("?" * (len(rest) + 1))})', [(*r, b) for r, b in zip(pdf[rest].itertuples(index=False, name=None), blob, strict=True)])
+
+
+def write_shapefile(rows: list[tuple[dict, list[list[tuple[float, float]]]]], path: str) -> None:
+    """A small result as a shapefile of polygons: (attributes, rings) on the driver. Attributes become text of 40 bytes."""
+    boxes, bodies = [], []
+    for _, rings in rows:
+        points = [p for r in rings for p in r]
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        boxes.append((min(xs), min(ys), max(xs), max(ys)))
+        starts, at = [], 0
+        for r in rings:
+            starts.append(at)
+            at += len(r)
+        bodies.append(struct.pack("<I4d2I", 5, *boxes[-1], len(rings), len(points)) + struct.pack(f"<{len(starts)}I", *starts) + struct.pack(f"<{2 * len(points)}d", *(c for p in points for c in p)))
+    every = tuple(f(b[i] for b in boxes) for i, f in enumerate((min, min, max, max))) if boxes else (0.0,) * 4
+    size = 50 + sum(4 + len(b) // 2 for b in bodies)
+    with open(path, "wb") as f:
+        f.write(struct.pack(">7I", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<2I8d", 1000, 5, *every, 0, 0, 0, 0))
+        for i, b in enumerate(bodies, 1):
+            f.write(struct.pack(">2I", i, len(b) // 2) + b)
+    names = list(rows[0][0]) if rows else []
+    with open(path[:-4] + ".dbf", "wb") as f:
+        f.write(struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(names), 1 + 40 * len(names)))
+        for n in names:
+            f.write(struct.pack("<11sc4x2B14x", n.encode()[:10], b"C", 40, 0))
+        f.write(b"\r")
+        for attributes, _ in rows:
+            f.write(b" " + b"".join(str(attributes[n]).encode()[:40].ljust(40) for n in names))

@@ -9,13 +9,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import np_haversine_m
 
 
+def file_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files of a folder (or one file) as a stream, with the schema they have now."""
+    schema = spark.read.parquet(path).schema
+    # as a pattern, since a stream takes a single file for a base folder
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def run_to_end(stream: DataFrame, folder: str, mode: str) -> str:
+    """Runs a stream over all that is there and stops; the folder of its result as Parquet.
+
+    ``complete`` keeps the last batch's table, ``append`` all batches' rows. Batches are written once whatever is tried
+    again, as each has its own folder.
+    """
+    out = f"{folder}/out"
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else i}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return out
+
+
 def session_counts(fixes: DataFrame, gap: str = "30 minutes", late: str = "1 day", time: str = "ts") -> DataFrame:
     """(subid, start, end, n_fixes) of sessions parted by ``gap``; fixes later than ``late`` are dropped."""
     t = fixes.withWatermark(time, late).groupBy("subid", F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_fixes"), F.min(time).alias("start"), F.max(time).alias("end"))
