@@ -145,7 +145,7 @@ def read_layer(spark: SparkSession, path: str, schema: str, layer: str | None =
         for b in batches:
             for p in b["path"]:
                 pdf = geopackage_rows(p, layer) if os.path.splitext(p)[1].lower() == ".gpkg" else shapefile_rows(p)
-                yield pdf.reindex(columns=[*names, "geometry"])
+                yield pdf.reindex(columns=[*names, "geometry"]).astype(object).where(lambda x: x.notna(), None)
 
     return spark.createDataFrame([(p,) for p in files], "path string").repartition(len(files)).mapInPandas(read, f"{schema}, geometry string")
 
