@@ -10,7 +10,7 @@ from ..operators.readings import implausible_readings
 from ..operators.sessions import from_micros, micros, sessions
 from ..operators.trips import plausible_positions, stops_and_trips, visits_of
 from ..session import materialize
-from .registry import Registry, table
+from .registry import Registry, sql_haversine, table
 
 R = Registry()
 
@@ -81,6 +81,24 @@ def p5_found(spark, d):
     return stops_and_trips(plausible_positions(gps, n_rows=n), n_rows=n).select("subid", "kind", "start_id", "end_id")
 
 
+# over all fixes, so that SQL can say it: V, the first fix that can't be with this one; R, how far a window from here goes
+_STOPS = f"""
+WITH o AS (SELECT subid, processed_id, time, lat, lon, row_number() OVER w AS i, CASE WHEN time - lag(time) OVER w > INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS quiet, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM processed_gps WINDOW w AS (PARTITION BY subid ORDER BY time, processed_id)),
+q AS (SELECT *, sum(quiet) OVER (PARTITION BY subid ORDER BY i) AS silences, sum(CASE WHEN quiet = 1 OR i = 1 OR {sql_haversine('plon', 'plat', 'lon', 'lat')} > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY subid ORDER BY i) AS island FROM o),
+far AS (SELECT a.subid, a.i, min(b.i) AS v FROM q a JOIN q b ON a.subid = b.subid AND a.island = b.island AND b.i > a.i WHERE {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} > 50 GROUP BY a.subid, a.i),
+r AS (SELECT q.*, min(coalesce(far.v, max_i + 1)) OVER (PARTITION BY q.subid ORDER BY q.i DESC) - 1 AS r FROM (SELECT *, max(i) OVER (PARTITION BY subid, island) AS max_i FROM q) q LEFT JOIN far ON q.subid = far.subid AND q.i = far.i),
+m AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY subid ORDER BY i) AS before FROM r) WHERE before IS NULL OR r > before),
+s AS (SELECT m.subid, m.i AS a, m.r AS b, m.processed_id AS start_id, e.processed_id AS end_id, m.silences AS s0, e.silences AS s1 FROM m JOIN r e ON m.subid = e.subid AND e.i = m.r WHERE e.time - m.time >= INTERVAL 10 MINUTE),
+t AS (SELECT *, lead(a) OVER w AS next_a, lead(start_id) OVER w AS next_id, lead(s0) OVER w AS next_s FROM s WINDOW w AS (PARTITION BY subid ORDER BY a))
+SELECT subid, 'stop' AS kind, start_id, end_id FROM s UNION ALL SELECT subid, 'trip', end_id, next_id FROM t WHERE next_a > b AND next_s = s1
+"""
+
+
+@R.query("p5_all_fixes", _STOPS)
+def p5_all_fixes(spark, d):
+    return stops_and_trips(table(spark, d, "processed_gps")).select("subid", "kind", "start_id", "end_id")
+
+
 @R.query("p5_visits")
 def p5_visits(spark, d):
     gps = table(spark, d, "processed_gps")
