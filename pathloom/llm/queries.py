@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.trips import plausible_positions
-from ..plans.registry import Registry, table
+from ..plans.registry import Registry, sql_haversine, table
 from .clusters import cluster_members, place_clusters
 from .leakage import leaked_items
 from .packing import fill_report, pack, token_counts
@@ -85,6 +85,20 @@ def p4_found(spark, d):
     return cluster_members(gps, place_clusters(gps))
 
 
+# over all fixes, so that SQL can say it: whatever is within 80 m of a member is within 50 m and has the same surroundings
+_SET_OFF = f"""
+WITH p AS (SELECT a.processed_id AS f, b.processed_id AS g, {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 50 AS near FROM processed_gps a JOIN processed_gps b ON a.subid = b.subid AND b.lat BETWEEN a.lat - 0.001 AND a.lat + 0.001 AND b.lon BETWEEN a.lon - 0.002 AND a.lon + 0.002 WHERE {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 80),
+n AS (SELECT f, count(*) AS n, bool_and(near) AS narrow, min(g) AS low, sum(g) AS total FROM p GROUP BY f)
+SELECT a.low AS cluster_key, a.f AS processed_id FROM n a JOIN p ON a.f = p.f JOIN n b ON p.g = b.f WHERE a.n >= 10 GROUP BY a.f, a.low HAVING bool_and(b.narrow AND b.n = a.n AND b.low = a.low AND b.total = a.total)
+"""
+
+
+@R.query("p4_all_fixes", _SET_OFF)
+def p4_all_fixes(spark, d):
+    gps = table(spark, d, "processed_gps")
+    return cluster_members(gps, place_clusters(gps))
+
+
 @R.query("p4_clusters")
 def p4_clusters(spark, d):
     return place_clusters(plausible_positions(table(spark, d, "processed_gps"))).select("subid", "cluster_key", "size", "n_components", "typical")
