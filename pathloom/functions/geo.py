@@ -8,10 +8,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Sphere radius in metres, metres in a mile, feet in a metre.
+#: Sphere radius in metres, metres in a mile.
 EARTH_M = 6378137.0
 MILE_M = 1609.344
-FEET_PER_M = 3.28084
 
 
 def col(c: str | Column) -> Column:
@@ -33,11 +32,6 @@ def np_haversine_m(lon1, lat1, lon2, lat2, radius: float = EARTH_M) -> np.ndarra
     return 2 * radius * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
-def degree_distance(lon1, lat1, lon2, lat2) -> Column:
-    """Planar distance in degrees."""
-    return F.sqrt(F.pow(col(lon1) - col(lon2), F.lit(2.0)) + F.pow(col(lat1) - col(lat2), F.lit(2.0)))
-
-
 def mercator_x(lon) -> Column:
     return F.lit(EARTH_M) * F.radians(col(lon))
 
@@ -73,21 +67,6 @@ def in_bbox(lon, lat, xmin: float, ymin: float, xmax: float, ymax: float) -> Col
     return col(lon).between(xmin, xmax) & col(lat).between(ymin, ymax)
 
 
-def lat_step(metres: float) -> float:
-    """Degrees of latitude that span ``metres``."""
-    return math.degrees(metres / EARTH_M)
-
-
-def cell(c, size: float) -> Column:
-    """Index of the cell of ``size`` degrees that holds a coordinate."""
-    return F.floor(col(c) / F.lit(size)).cast("long")
-
-
-def lon_cells(metres: float, lat, size: float) -> Column:
-    """How many cells of ``size`` degrees of longitude ``metres`` can span at ``lat`` (rounded up)."""
-    return F.ceil(F.lit(math.degrees(metres / EARTH_M) / size) / F.greatest(F.cos(F.radians(F.abs(col(lat)) + 0.01)), F.lit(1e-6))).cast("long")
-
-
 def from_mercator(x, y) -> tuple[Column, Column]:
     """Longitude and latitude of a position in spherical Mercator."""
     return F.degrees(col(x) / EARTH_M), F.degrees(2 * F.atan(F.exp(col(y) / EARTH_M)) - F.lit(math.pi / 2))

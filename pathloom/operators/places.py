@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.geo import np_haversine_m
 from ..session import lookup_join, materialize
-from .graph import components, dbscan, distance_matrix, match_pairs, near_pairs, pam, silhouette
+from .graph import dbscan, distance_matrix, match_pairs, pam, silhouette, silhouette_of
 from .proximity import radius_join
 
 
@@ -107,9 +107,8 @@ def dedupe_locations(locations: DataFrame, radius_m: float = 50.0) -> DataFrame:
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["first", "lat", "lon"], kind="stable").reset_index(drop=True)
-        i, j = near_pairs(p["lon"].to_numpy(), p["lat"].to_numpy(), radius_m)
-        root = components(len(p), i, j)
-        p["location_id"] = (np.searchsorted(np.unique(root), root) + 1).astype(np.int32)
+        # density clusters of one are chains of positions in reach, numbered by their first
+        p["location_id"] = dbscan(p["lon"].to_numpy(), p["lat"].to_numpy(), radius_m, 1).astype(np.int32)
         return p
 
     ids = _per_subject(spots, ["subid"], run, "location_id int").drop("first")
@@ -214,8 +213,7 @@ def silhouettes(clustered: DataFrame, label: str = "cluster_id") -> DataFrame:
     spots = clustered.filter(F.col(label) > 0).groupBy("subid", label, "lat", "lon").agg(F.count("*").alias("w"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        d = distance_matrix(p["lon"].to_numpy(), p["lat"].to_numpy())
-        s = silhouette(d, p[label].to_numpy(), p["w"].to_numpy(float))
+        s = silhouette_of(p["lon"].to_numpy(), p["lat"].to_numpy(), p[label].to_numpy(), p["w"].to_numpy(float))
         return pd.DataFrame({"subid": p["subid"].iloc[:1], "n_clusters": np.int64(p[label].nunique()), "silhouette": None if s != s else s})
 
     return spots.groupBy("subid").applyInPandas(run, T.StructType([spots.schema["subid"], T.StructField("n_clusters", T.LongType()), T.StructField("silhouette", T.DoubleType())]))

@@ -1,5 +1,6 @@
 """Kernels of clusters, matching, silhouettes and statistics against brute force and known values."""
 
+import time
 from itertools import combinations, permutations
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 from pathloom.functions.geo import np_haversine_m
 from pathloom.functions.stats import incomplete_beta, t_two_sided
+from pathloom.operators import graph
 from pathloom.operators.graph import components, dbscan, distance_matrix, match_pairs, near_pairs, pam, silhouette
 
 
@@ -44,12 +46,23 @@ def slow_dbscan(d, eps, min_pts):
 
 
 @pytest.mark.parametrize("eps, min_pts", [(20.0, 1), (20.0, 2), (30.0, 3), (40.0, 5), (15.0, 200)])
-def test_dbscan(eps, min_pts):
+@pytest.mark.parametrize("paired", [10**9, 0])
+def test_dbscan(monkeypatch, eps, min_pts, paired):
+    monkeypatch.setattr(graph, "PAIRED", paired)
     for seed in range(6):
         lon, lat = spots(90, seed)
         assert dbscan(lon, lat, eps, min_pts).tolist() == slow_dbscan(distance_matrix(lon, lat), eps, min_pts)
 
 
+def test_a_crowded_place_needs_no_pairs():
+    rng = np.random.default_rng(2)
+    n = 150_000
+    lon, lat = np.r_[rng.normal(-89, 1e-4, n), -89.1], np.r_[rng.normal(43, 1e-4, n), 43]
+    t = time.time()
+    label = dbscan(lon, lat, 50.0, 3)
+    assert label[-1] == 0 and (label[:-1] == 1).mean() > 0.999 and time.time() - t < 30
+
+
 def test_components():
     assert components(6, np.array([4, 1]), np.array([2, 5])).tolist() == [0, 1, 2, 3, 2, 1]
     assert components(0, np.zeros(0, int), np.zeros(0, int)).tolist() == []
