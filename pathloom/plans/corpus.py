@@ -74,6 +74,28 @@ def p3_found(spark, d):
     return implausible_readings(table(spark, d, "processed_gps")).select("processed_id", "measure")
 
 
+# the kinds that SQL can say: positions off the globe, and stuck speeds of fixes (rows processed twice are one fix)
+_CERTAIN = """
+WITH o AS (SELECT *, CASE WHEN time = lag(time) OVER w AND lat = lag(lat) OVER w AND lon = lag(lon) OVER w AND coalesce(speed_mph = lag(speed_mph) OVER w, true) AND coalesce(dist_miles = lag(dist_miles) OVER w, true) THEN 0 ELSE 1 END AS new FROM processed_gps WINDOW w AS (PARTITION BY subid ORDER BY time, processed_id)),
+f AS (SELECT *, sum(new) OVER (PARTITION BY subid ORDER BY time, processed_id ROWS UNBOUNDED PRECEDING) AS fix FROM o),
+v AS (SELECT subid, fix, min(speed_mph) AS v FROM f GROUP BY subid, fix HAVING min(speed_mph) IS NOT NULL),
+b AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY subid ORDER BY fix) THEN 0 ELSE 1 END AS turn FROM v),
+r AS (SELECT *, sum(turn) OVER (PARTITION BY subid ORDER BY fix) AS run FROM b),
+n AS (SELECT *, count(*) OVER (PARTITION BY subid, run) AS n FROM r)
+SELECT processed_id, 'lat' AS measure, 'bound' AS kind FROM processed_gps WHERE abs(lat) > 90 OR abs(lon) > 180
+UNION ALL SELECT f.processed_id, 'speed_mph', 'stuck' FROM f JOIN n USING (subid, fix) WHERE n.n >= 5 AND n.turn = 0 AND n.v > 0 AND n.v <= 150 AND f.speed_mph IS NOT NULL
+"""
+
+
+@R.query("p3_certain", _CERTAIN)
+def p3_certain(spark, d):
+    gps = table(spark, d, "processed_gps")
+    t = implausible_readings(gps).select("processed_id", "measure", "kind")
+    speeds = gps.filter("speed_mph > 0 AND speed_mph <= 150").select("processed_id")
+    stuck = t.filter("measure = 'speed_mph' AND kind = 'stuck'").join(speeds, "processed_id", "left_semi")
+    return t.filter("measure = 'lat' AND kind = 'bound'").unionByName(stuck)
+
+
 @R.query("p5_found")
 def p5_found(spark, d):
     gps = table(spark, d, "processed_gps")
