@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.trips import plausible_positions
 from ..plans.registry import Registry, sql_haversine, table
+from ..session import materialize
 from .clusters import cluster_members, place_clusters
 from .leakage import leaked_items
 from .packing import fill_report, pack, token_counts
@@ -55,6 +56,17 @@ def p8_fill(spark, d):
     return fill_report(p8_packing(spark, d), CAPACITY)
 
 
+@R.query("p8_identities", "SELECT count(*) FILTER (WHERE text <> '') AS n_placed, 0::BIGINT AS n_overfull, 0::BIGINT AS n_cut_without_need, 0::BIGINT AS n_tokens_lost FROM documents")
+def p8_identities(spark, d):
+    """What must hold of any packing: every text with tokens is placed whole, nothing is too full or cut without need."""
+    sizes = materialize(token_counts(table(spark, d, "documents"), "doc_id"))
+    placed = materialize(pack(sizes, "doc_id", "n_tokens", CAPACITY))
+    over = placed.groupBy("container_id").agg(F.sum("length").alias("n")).filter(F.col("n") > CAPACITY).agg(F.count("*").alias("n_overfull"))
+    held = placed.groupBy("doc_id").agg(F.sum("length").alias("held"), F.count("*").alias("pieces"))
+    t = sizes.join(held, "doc_id", "left").agg(F.count("held").alias("n_placed"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("n_cut_without_need"), F.sum(F.abs(F.col("n_tokens") - F.coalesce("held", F.lit(0)))).alias("n_tokens_lost"))
+    return t.crossJoin(F.broadcast(over)).select("n_placed", "n_overfull", "n_cut_without_need", "n_tokens_lost")
+
+
 # every window of 300 characters of every text, by its hash
 _SPANS = "WITH w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"
 
