@@ -69,6 +69,7 @@ def ordered_scan(
     n_rows: int,
     halo: int | None = None,
     breaks: Callable[[Arrays], np.ndarray] | None = None,
+    edges: Callable[[Arrays], tuple[int, int, int, int] | None] | None = None,
     whole: Callable[[Arrays, int], dict] | None = None,
     cut: list[str] | None = None,
     slice_rows: int = SLICE_ROWS,
@@ -78,7 +79,10 @@ def ordered_scan(
     ``kernel(arrays, own)`` gets successive rows and says what it finds for the rows marked in ``own``. Either ``halo``
     is given (a row is decided by at most so many rows on each side), or ``breaks`` (rows on two sides of a break never
     belong together; everything between two breaks is decided together). With ``breaks`` a kernel may also look at the
-    row before a break, to say how the first row after it was reached: unless the input starts there, it is shown.
+    row before a break, to say how the first row after it was reached: unless the input starts there, it is shown. Or
+    ``edges(arrays)`` says for a slice which rows it can't decide: (a, b, c, d), where rows before ``a`` are decided at the
+    border before it with rows up to ``b`` in view, and rows from ``c`` on at the border after it with rows from ``d`` on;
+    None if the slice can't be cut.
 
     ``whole(arrays, slice)`` gives further result rows for each slice by itself, such as what its first and last runs are,
     for questions that no halo bounds. ``cut`` is passed to :func:`sliced`.
@@ -86,7 +90,7 @@ def ordered_scan(
     Empty input gives no rows. Slices too short to be cut are joined to their neighbours, so tiny and lopsided inputs
     give the same rows as one slice would.
     """
-    assert (halo is None) != (breaks is None)
+    assert sum(x is not None for x in (halo, breaks, edges)) == 1
     n = slice_count(n_rows, slice_rows)
     raw_schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])  # all may be null where a row is a result
     out = T.StructType([T.StructField("res", result), T.StructField("raw", raw_schema), T.StructField("own", T.BooleanType()), T.StructField("slice", T.LongType()), T.StructField("chain", T.LongType())])
@@ -113,20 +117,21 @@ def ordered_scan(
             yield wrap(to_batch(kernel(arrays, np.ones(k, bool)), a_res), None, None, 0, None)
             return
         if halo is not None:
-            head = tail = halo
-            shown = 2 * halo
-            through = k < 4 * halo
-        else:
+            at_edges = None if k < 4 * halo else (halo, 2 * halo, k - halo, k - 2 * halo)
+        elif breaks is not None:
             head, tail = edges_at(arrays, breaks(arrays))
-            shown, through = None, tail == 0
-        if through:
+            # the row before the last break goes along unowned, so the first row after it is seen with its predecessor
+            at_edges = None if tail == 0 else (head, head, k - tail, k - tail - 1)
+        else:
+            at_edges = edges(arrays)
+        if at_edges is None:
             yield wrap(None, table, np.ones(k, bool), at, 0)
             return
+        first, seen, last, back = at_edges
         own = np.ones(k, bool)
-        own[:head] = own[k - tail :] = False
+        own[:first] = own[last:] = False
         yield wrap(to_batch(kernel(arrays, own), a_res), None, None, at, None)
-        # the row before the last break goes along unowned, so the first row after it is seen with its predecessor
-        for lo, hi, chain, mine in ((0, shown or head, 0, lambda i: i < head), (k - (shown or tail + 1), k, 1, lambda i: i >= k - tail)):
+        for lo, hi, chain, mine in ((0, seen, 0, lambda i: i < first), (back, k, 1, lambda i: i >= last)):
             yield wrap(None, table.slice(lo, hi - lo), mine(np.arange(lo, hi)), at, chain)
 
     first = sliced(df, order, n_rows, slice_rows, cut).mapInArrow(scan, out)

@@ -58,26 +58,29 @@ def _extremes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return order[np.unique(chain(range(len(xs))) + chain(range(len(xs) - 1, -1, -1)))]
 
 
-def longest_windows(lat: np.ndarray, lon: np.ndarray, sec: np.ndarray, radius_m: float, least_s: float) -> list[tuple[int, int]]:
-    """All longest (not extendable) windows [i, j] of successive fixes, every two within the radius, lasting ``least_s``.
+def window_starts(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
+    """For each of successive fixes the first fix of the longest window that ends with it, every two within the radius.
 
     Distances are taken in a plane about the fixes, and on the sphere where the plane leaves them open. A block of fixes
     joins its window at once if the hull of both is narrow enough, so a long quiet stop costs about its length.
     """
     n = len(lat)
-    if n == 0 or sec[-1] - sec[0] < least_s:
-        return []
+    starts = np.zeros(n, np.int64)
+    if n < 2:
+        return starts
     mid = float(lat[n // 2])
     x = np.radians(lon - lon[0]) * EARTH_M * np.cos(np.radians(mid))
     y = np.radians(lat - mid) * EARTH_M
     # the plane's error over the radius: its width is right at one latitude
     slack = 0.05 + radius_m * float(np.abs(np.radians(lat - mid)).max()) * (abs(np.tan(np.radians(mid))) + 1)
     near2, far2 = max(0.0, radius_m - slack) ** 2, (radius_m + slack) ** 2
+    if float(np.hypot(x.max() - x.min(), y.max() - y.min())) ** 2 <= near2:
+        return starts
 
     def narrow(at: np.ndarray) -> bool:
         return float(((x[at, None] - x[at]) ** 2 + (y[at, None] - y[at]) ** 2).max()) <= near2
 
-    lo, found, j = 0, [], 1
+    lo, j = 0, 1
     hull, hull_lo, hull_to = np.array([0]), 0, 1  # of the window lo..hull_to-1
     while j < n:
         if j + BLOCK <= n or j - lo >= BLOCK:
@@ -87,6 +90,7 @@ def longest_windows(lat: np.ndarray, lon: np.ndarray, sec: np.ndarray, radius_m:
             at = np.r_[hull, np.arange(hull_to, to)]
             at = at[_extremes(x[at], y[at])]
             if narrow(at):
+                starts[j:to] = lo
                 hull, hull_to, j = at, to, to
                 continue
         for j in range(j, min(n, j + BLOCK)):
@@ -100,13 +104,17 @@ def longest_windows(lat: np.ndarray, lon: np.ndarray, sec: np.ndarray, radius_m:
                     keep[open_] = np_haversine_m(lon[at[open_]], lat[at[open_]], lon[j], lat[j]) > radius_m
                     at = at[keep]
                 if len(at):
-                    if sec[j - 1] - sec[lo] >= least_s:
-                        found.append((lo, j - 1))
                     lo = int(at[-1]) + 1
+            starts[j] = lo
         j += 1
-    if sec[-1] - sec[lo] >= least_s:
-        found.append((lo, n - 1))
-    return found
+    return starts
+
+
+def longest_windows(lat: np.ndarray, lon: np.ndarray, sec: np.ndarray, radius_m: float, least_s: float) -> list[tuple[int, int]]:
+    """All longest (not extendable) windows [i, j] of successive fixes, every two within the radius, lasting ``least_s``."""
+    starts = window_starts(lat, lon, radius_m)
+    ends = np.flatnonzero(np.r_[starts[1:] > starts[:-1], True]) if len(starts) else np.zeros(0, np.int64)
+    return [(int(i), int(j)) for i, j in zip(starts[ends], ends, strict=True) if sec[j] - sec[i] >= least_s]
 
 
 def stop_kernel(radius_m: float, least_s: float, silence_s: float):
@@ -115,6 +123,28 @@ def stop_kernel(radius_m: float, least_s: float, silence_s: float):
         b[1:] = (a["subid"][1:] != a["subid"][:-1]) | (a["us"][1:] - a["us"][:-1] > silence_s * 1e6) | ~(np_haversine_m(a["lon"][:-1], a["lat"][:-1], a["lon"][1:], a["lat"][1:]) <= radius_m)
         return b
 
+    def starts_of(a: Arrays) -> np.ndarray:
+        """First fix of the longest window that ends with each fix; windows don't go over breaks."""
+        if "__starts" not in a:
+            cut = np.flatnonzero(breaks(a))
+            out = np.zeros(len(a["us"]), np.int64)
+            for s, e in zip(cut, np.r_[cut[1:], len(out)], strict=True):
+                out[s:e] = s + (window_starts(a["lat"][s:e], a["lon"][s:e], radius_m) if e - s > 1 else 0)
+            a["__starts"] = out
+        return a["__starts"]
+
+    def edges(a: Arrays) -> tuple[int, int, int, int] | None:
+        """What a slice can't decide: fixes and windows before the first fix whose window is known to begin in the slice,
+        and those from the start of the last window on. Windows that cover such fixes are shown whole."""
+        starts = starts_of(a)
+        k = len(starts)
+        known = int(np.searchsorted(starts, 0, side="right"))  # starts never fall
+        closed = int(np.searchsorted(starts, known))
+        last = int(starts[-1])
+        if closed >= k or last < known:
+            return None
+        return known, closed + 1, last, min(int(starts[last]), last - 1)
+
     def kernel(a: Arrays, own: np.ndarray) -> dict:
         n, sec = len(own), a["us"] / 1e6
         rows: list[list] = [[] for _ in _EVENT]
@@ -124,16 +154,15 @@ def stop_kernel(radius_m: float, least_s: float, silence_s: float):
                 c.append(np.asarray(v))
 
         z = lambda k: np.zeros(k, np.int64)
-        b = breaks(a)
-        start = np.flatnonzero(b)
-        end = np.r_[start[1:], n]
-        long = (sec[end - 1] - sec[start] >= least_s) & own[start] if n else np.zeros(0, bool)
+        starts = starts_of(a)
         stop_of = np.full(n, -1)
         stops = []
-        for s, e in zip(start[long], end[long], strict=True):
-            for i, j in longest_windows(a["lat"][s:e], a["lon"][s:e], sec[s:e], radius_m, least_s):
-                stop_of[s + i : s + j + 1] = len(stops)
-                stops.append((s + i, s + j))
+        ends = np.flatnonzero(np.r_[starts[1:] > starts[:-1], True]) if n else np.zeros(0, np.int64)
+        for number, j in enumerate(ends[sec[ends] - sec[starts[ends]] >= least_s].tolist()):
+            i = int(starts[j])
+            stop_of[i : j + 1] = number
+            if own[i]:
+                stops.append((i, j))
         if stops:
             i, j = np.array(stops).T
             lat = [np.median(a["lat"][x : y + 1]) for x, y in stops]
@@ -158,7 +187,7 @@ def stop_kernel(radius_m: float, least_s: float, silence_s: float):
                 put(a["subid"][f], a["us"][f], a["processed_id"][f], np.full(k, WAY), z(k), z(k), np.bincount(g), np.zeros(k), np.zeros(k), np.bincount(g, weights=length))
         return {f.name: np.concatenate(c) if c else np.zeros(0) for f, c in zip(_EVENT, rows, strict=True)}
 
-    return breaks, kernel
+    return edges, kernel
 
 
 def _trip_breaks(a: Arrays) -> np.ndarray:
@@ -253,9 +282,9 @@ def stops_and_trips(gps: DataFrame, radius_m: float = 50.0, least_minutes: float
     subid, time, id or position are no fixes. Repeated rows count each. Empty input gives no rows.
     """
     n_rows = gps.count() if n_rows is None else n_rows
-    breaks, kernel = stop_kernel(radius_m, least_minutes * 60, silence_minutes * 60)
+    edges, kernel = stop_kernel(radius_m, least_minutes * 60, silence_minutes * 60)
     fixes = fixes_of(gps.filter("lat IS NOT NULL AND lon IS NOT NULL"), "lat", "lon")
-    events = materialize(ordered_scan(fixes, FIX_ORDER, _EVENT, kernel, n_rows=n_rows, breaks=breaks, slice_rows=slice_rows))
+    events = materialize(ordered_scan(fixes, FIX_ORDER, _EVENT, kernel, n_rows=n_rows, edges=edges, slice_rows=slice_rows))
     stops = events.filter(F.col("code") == ARRIVAL)
     size = float(np.degrees(20.0 / EARTH_M))
     place = places(stops.select("subid", "lat", "lon", F.col("n").alias("weight")))

@@ -39,3 +39,24 @@ def test_one_slice_parts_trips_at_silences(gps):
 @pytest.mark.parametrize("slice_rows", [150, 33, 11])
 def test_all_slicings_give_the_same_rows(gps, slice_rows):
     assert rows_of(gps, slice_rows) == rows_of(gps, 10**6)
+
+
+def test_dense_fixes_are_cut_within_moves(spark):
+    """A fix a second: no step is long and nothing is silent, so slices are cut where windows let them."""
+    import numpy as np
+
+    from pathloom.operators.trips import stop_kernel
+
+    rng = np.random.default_rng(6)
+    pace = np.repeat([0.0, 12.0, 0.0, 1.1, 0.0, 20.0, 0.0], [900, 300, 700, 900, 500, 200, 800])
+    north = np.cumsum(pace) + rng.normal(0, 3, len(pace))
+    p = pd.DataFrame({"processed_id": np.arange(len(pace)), "subid": 1, "lat": 41.7 + np.degrees(north / 6378137.0), "lon": -88 + rng.normal(0, 3e-5, len(pace)), "time": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(len(pace)), "s")})
+    gps = spark.createDataFrame(p).selectExpr("processed_id", "cast(subid AS smallint) AS subid", "lat", "lon", "cast(time AS timestamp_ntz) AS time").cache()
+    one = rows_of(gps, 10**6)
+    assert sum(x[0] == "stop" for x in one) >= 3 and sum(x[0] == "trip" for x in one) >= 2
+    for slice_rows in (2000, 900, 400, 150):
+        assert rows_of(gps, slice_rows) == one
+    edges, _ = stop_kernel(50.0, 600.0, 3600.0)
+    arrays = {"us": np.arange(len(pace)) * 1_000_000, "subid": np.ones(len(pace)), "lat": p.lat.to_numpy(), "lon": p.lon.to_numpy()}
+    first, seen, last, back = edges(arrays)
+    assert 900 < first < 920 and first < seen < 930 and 4290 - 800 < last < 3540 and back < last
