@@ -36,3 +36,8 @@ def test_columns_without_nulls(spark, n_rows):
 def test_adaptive_sampling_of_many_rows(spark, folder):
     got = same_as_sql(spark, "k6_adaptive_sampling", folder)
     assert {k: r["ratio"] for k, r in got.items()} == {"one": 2.5, "none": 2.5}
+
+
+def test_gaps_of_many_rows(spark, folder):
+    got = same_as_sql(spark, "k6_gaps_by_movement", folder)
+    assert sorted(got) == ["none", "one"]
