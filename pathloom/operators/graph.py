@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -185,35 +185,101 @@ def distance_matrix(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     return np_haversine_m(lon[:, None], lat[:, None], lon[None, :], lat[None, :])
 
 
-def pam(d: np.ndarray, k: int, w: np.ndarray) -> np.ndarray:
-    """Medoid index of each item under weights: greedy build, then the best swap until none gains. Ties: lowest index."""
+class _Medoids:
+    """Medoids under symmetric distances, and what each swap would cost: ``near_sum[h]`` is the total distance if h were added, ``lost[x, h]`` what
+    it grows by if medoid x also goes. A swap changes the nearest two medoids of few items, so only their rows are
+    taken out of the sums and put in again.
+    """
+
+    def __init__(self, d: np.ndarray, w: np.ndarray, most: int) -> None:
+        n = len(d)
+        self.d, self.w, self.medoids = d, w, []
+        self.own, self.first, self.second = np.full(n, -1), np.full(n, np.inf), np.full(n, np.inf)
+        self.near_sum, self.lost = np.zeros(n), np.zeros((most, n))
+
+    def copy(self) -> _Medoids:
+        c = _Medoids.__new__(_Medoids)
+        c.d, c.w, c.medoids, c.own, c.first, c.second, c.near_sum, c.lost = self.d, self.w, self.medoids.copy(), self.own.copy(), self.first.copy(), self.second.copy(), self.near_sum.copy(), self.lost.copy()
+        return c
+
+    def total(self) -> float:
+        return float((self.w * self.first).sum())
+
+    def _count(self, rows: np.ndarray, sign: float, block: int = 128) -> None:
+        rows = rows[np.argsort(self.own[rows], kind="stable")]  # those of a medoid follow each other
+        space = np.empty((2, min(block, len(rows)), len(self.d)))
+        for s in range(0, len(rows), block):
+            r = rows[s : s + block]
+            least, more = space[:, : len(r)]
+            weight, own = sign * self.w[r], self.own[r]
+            np.take(self.d, r, axis=0, out=more, mode="clip")
+            np.minimum(more, self.first[r][:, None], out=least)
+            np.minimum(more, self.second[r][:, None], out=more)
+            more -= least
+            self.near_sum += weight @ least
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist()
+            for a, b in zip(at, [*at[1:], len(r)], strict=True):
+                self.lost[own[a]] += weight[a:b] @ more[a:b]
+
+    def settle(self) -> None:
+        """Nearest two medoids anew, and the sums for the items for which they changed."""
+        md = self.d[self.medoids]
+        every = np.arange(md.shape[1])
+        own = md.argmin(0)
+        first = md[own, every]
+        md[own, every] = np.inf
+        second = md.min(0)
+        rows = np.flatnonzero((own != self.own) | (first != self.first) | (second != self.second))
+        old = rows[self.own[rows] >= 0]
+        if 2 * len(old) < len(every):
+            self._count(old, -1.0)
+        else:
+            self.near_sum[:], self.lost[:], rows = 0, 0, every
+        self.own, self.first, self.second = own, first, second
+        self._count(rows, 1.0)
+
+
+def pams(d: np.ndarray, k_from: int, k_to: int, w: np.ndarray) -> Iterator[np.ndarray]:
+    """Medoid index of each item under weights, for each number of medoids: greedy build, then the best swap until none
+    gains. Ties, and differences that rounding can make: lowest index. What is built for k medoids is the start for
+    k + 1."""
     n = len(d)
-    near = np.full(n, np.inf)
-    medoids: list[int] = []
-    for _ in range(min(k, n)):
-        cost = (w[:, None] * np.minimum(near[:, None], d)).sum(0)
-        cost[medoids] = np.inf
-        m = int(cost.argmin())
-        medoids.append(m)
-        near = np.minimum(near, d[:, m])
-    while True:
-        md = d[:, medoids]
-        order = np.argsort(md, axis=1, kind="stable")
-        first = md[np.arange(n), order[:, 0]]
-        second = md[np.arange(n), order[:, 1]] if len(medoids) > 1 else np.full(n, np.inf)
-        best = (-1e-9, -1, -1)
-        for x in range(len(medoids)):
-            rest = np.where(order[:, 0] == x, second, first)
-            change = (w[:, None] * np.minimum(rest[:, None], d)).sum(0) - (w * first).sum()
-            change[medoids] = np.inf
-            h = int(change.argmin())
-            if change[h] < best[0]:
-                best = (float(change[h]), x, h)
-        if best[1] < 0:
-            break
-        medoids[best[1]] = best[2]
-    medoids = sorted(medoids)
-    return np.array(medoids)[np.argmin(d[:, medoids], axis=1)]
+    built = _Medoids(d, w, max(1, min(k_to, n)))
+
+    alone = w @ d
+    slack = 1e-9 + 1e-14 * float(alone.max())
+
+    def least(cost: np.ndarray) -> int:
+        return int((cost <= cost.min() + slack).argmax())
+
+    for k in range(1, k_to + 1):
+        if k <= n:
+            cost = built.near_sum.copy() if k > 1 else alone
+            cost[built.medoids] = np.inf
+            built.medoids.append(least(cost))
+            built.settle()
+        if k < k_from:
+            continue
+        at = built.copy()
+        while True:
+            now = at.total()
+            change = at.near_sum + at.lost[: len(at.medoids)] - now
+            change[:, at.medoids] = np.inf
+            x, h = divmod(least(change), n)
+            if not change[x, h] < -slack:
+                break
+            gone, at.medoids[x] = at.medoids[x], h
+            at.settle()
+            if not at.total() < now:  # a gain of rounding only
+                at.medoids[x] = gone
+                break
+        medoids = sorted(at.medoids)
+        yield np.array(medoids)[np.argmin(d[:, medoids], axis=1)]
+
+
+def pam(d: np.ndarray, k: int, w: np.ndarray) -> np.ndarray:
+    """The same for one number of medoids."""
+    return next(pams(d, k, k, w))
 
 
 def silhouette(d: np.ndarray, label: np.ndarray, w: np.ndarray) -> float:

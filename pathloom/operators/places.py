@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.geo import np_haversine_m
 from ..session import lookup_join, materialize
-from .graph import dbscan, distance_matrix, match_pairs, pam, silhouette, silhouette_of
+from .graph import dbscan, distance_matrix, match_pairs, pams, silhouette, silhouette_of
 from .proximity import radius_join
 
 
@@ -47,8 +47,7 @@ def _labels(lon: np.ndarray, lat: np.ndarray, k_from: int, k_to: int, fallback:
     at, k_to = at.ravel(), min(k_to, n - 1, len(spots))
     d, w = distance_matrix(spots[:, 0], spots[:, 1]), np.bincount(at.ravel()).astype(float)
     best, label = -np.inf, np.zeros(len(spots), np.int64)
-    for k in range(k_from, k_to + 1):
-        got = pam(d, k, w)
+    for got in pams(d, k_from, k_to, w):
         s = silhouette(d, got, w)
         if s > best + 1e-12:
             best, label = s, got
@@ -140,10 +139,14 @@ def dwell_at(locations: DataFrame, stays: DataFrame, key: list[str], radius_m: f
 
 
 def near_edges(places: DataFrame, truth: DataFrame, radius_m: float, by: list[str] = ["subid"], left: str = "cluster_id", right: str = "location_id") -> DataFrame:  # noqa: B006
-    """(by..., left, right, dist_m) of places and true locations of a group within ``radius_m``."""
+    """(by..., left, right, dist_m) of places and true locations of a group within ``radius_m``.
+
+    Locations that lack some columns of ``by`` belong to all groups that are equal in the others.
+    """
+    own = [c for c in by if c in truth.columns]
     a = places.select(*by, left, "lat", "lon")
-    b = truth.select(*by, right, F.col("lat").alias("olat"), F.col("lon").alias("olon"))
-    return radius_join(a, b, radius_m, by=by).select(*by, left, right, "dist_m")
+    b = truth.select(*own, right, F.col("lat").alias("olat"), F.col("lon").alias("olon"))
+    return radius_join(a, b, radius_m, by=own).select(*by, left, right, "dist_m")
 
 
 def capture(places: DataFrame, truth: DataFrame, radius_m: float = 100.0, by: list[str] = ["subid"], left: str = "cluster_id", right: str = "location_id", one_to_one: bool = False) -> DataFrame:  # noqa: B006
@@ -151,9 +154,10 @@ def capture(places: DataFrame, truth: DataFrame, radius_m: float = 100.0, by: li
 
     A place or location counts as matched with one of the other side within ``radius_m``; with ``one_to_one`` as many
     pairs are matched as can be, each place and location once. Ratios of empty sides are 0. Groups on one side only are
-    left out.
+    left out. ``truth`` may lack columns of ``by``, as in :func:`near_edges`.
     """
-    n = places.groupBy(*by).agg(F.count("*").alias("n_places")).join(truth.groupBy(*by).agg(F.count("*").alias("n_truth")), by)
+    own = [c for c in by if c in truth.columns]
+    n = places.groupBy(*by).agg(F.count("*").alias("n_places")).join(truth.groupBy(*own).agg(F.count("*").alias("n_truth")), own)
     edges = near_edges(places, truth, radius_m, by, left, right)
     hits = matched(edges, by, left, right).groupBy(*by).agg(F.count("*").alias("matched_places"), F.count("*").alias("matched_truth")) if one_to_one else edges.groupBy(*by).agg(F.countDistinct(left).alias("matched_places"), F.countDistinct(right).alias("matched_truth"))
     t = n.join(hits, by, "left").fillna(0, ["matched_places", "matched_truth"])

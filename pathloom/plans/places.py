@@ -25,6 +25,8 @@ rep AS (SELECT *, CAST(utc = min(utc) OVER (PARTITION BY subid) AS INTEGER) AS i
 truth AS (SELECT rep.subid, location_id, median(rep.lat) AS lat, median(rep.lon) AS lon, count(*) AS n_reports, max(intake) AS intake, coalesce(string_agg(DISTINCT lower(type), ', ' ORDER BY lower(type)), '') AS types FROM rep JOIN spots USING (subid, lat, lon) JOIN lid USING (subid, i) GROUP BY rep.subid, location_id)"""
 BOTH = f"WITH RECURSIVE {clustered_sql()}, {CENTROIDS}, {TRUTH}, e AS (SELECT c.subid, c.cluster_id, t.location_id, {sql_haversine('c.lon', 'c.lat', 't.lon', 't.lat')} AS m FROM cent c JOIN truth t USING (subid))"
 _KEY = ["location_id"]
+#: Tasks a core for windows that are clustered by medoids, so that heavy ones are spread.
+WINDOW_TASKS = 8
 
 
 def cent(spark, d):
@@ -159,16 +161,17 @@ def l9c(spark, d):
 @R.query("l10_window_comparison")
 def l10(spark, d):
     """Per (subject, window of whole days) with at least three stays: how density clusters, routine ones and medoids capture the known places."""
-    w = M.cumulative_windows(stays(spark, d), 1)
+    w = M.cumulative_windows(materialize(stays(spark, d)), 1)
     by = ["subid", "window_days"]
-    enough = w.groupBy(*by).agg(F.count("*").alias("n_stays")).filter("n_stays >= 3")
-    w = materialize(w.join(enough.select(*by), by, "left_semi").drop("study_day"))
+    enough = materialize(w.groupBy(*by).agg(F.count("*").alias("n_stays")).filter("n_stays >= 3"))
+    w = materialize(w.join(enough.select(*by), by, "left_semi").select(*by, "stay_id", "start_time", "dwell_mins", "lat", "lon"))
+    # a window is much work in few bytes, so the number of tasks doesn't follow the bytes
+    w = w.repartition(WINDOW_TASKS * spark.sparkContext.defaultParallelism, *by)
     known = truth(spark, d)
-    per_window = known.join(enough.select(*by), "subid")
     dense = materialize(L.centroids(L.cluster_stays(w, 50.0, 3, by), by))
-    medoid = L.centroids(L.medoid_clusters(w, 2, 20, True, by), by, "cluster_id_kmeans").withColumnRenamed("cluster_id_kmeans", "cluster_id")
+    medoid = materialize(L.centroids(L.medoid_clusters(w, 2, 20, True, by), by, "cluster_id_kmeans").withColumnRenamed("cluster_id_kmeans", "cluster_id"))
     kinds = {"dbscan": dense, "routine": L.routine(dense, 2), "kmeans": medoid}
-    scores = [L.capture(p, per_window, by=by).select(*by, F.col("n_places").alias(f"{k}_clusters"), *(F.col(c).alias(f"{k}_{c}") for c in ("recall", "precision", "f1"))) for k, p in kinds.items()]
+    scores = [L.capture(p, known, by=by).select(*by, F.col("n_places").alias(f"{k}_clusters"), *(F.col(c).alias(f"{k}_{c}") for c in ("recall", "precision", "f1"))) for k, p in kinds.items()]
     return reduce(lambda a, b: a.join(b, by, "left"), scores, enough)
 
 
