@@ -125,12 +125,30 @@ def sampling_by_movement(fixes: DataFrame, id_col: str = "point_id", app: str =
 
     gaps: per (app, movement) the number, quantiles and mean of gaps under ``most_gap_s``, and the number of longer ones.
     ratios: per app the median gap at rest over that in motion, and whether it is above 1.5. First fixes and gaps of zero
-    are left out.
+    are left out. Quantiles are read at their ranks in an order of all gaps that is cut into slices, so no task holds
+    the gaps of an app, however many differ.
     """
-    steps = step_metrics(fixes, id_col).withColumn("gap_s", F.col("duration_min") * 60).filter("gap_s > 0")
-    rest = F.when(F.col("dist_m") <= still_m, "Stationary").otherwise("Moving").alias("movement")
-    short = F.when(F.col("gap_s") < most_gap_s, F.col("gap_s"))
-    gaps = steps.groupBy(F.col(app).alias("app"), rest).agg(F.count(short).alias("n_points"), F.min(short).alias("min_gap"), F.percentile(short, F.lit(0.25)).alias("q25"), F.percentile(short, F.lit(0.5)).alias("median_gap"), F.percentile(short, F.lit(0.75)).alias("q75"), F.max(short).alias("max_gap"), F.avg(short).alias("mean_gap"), (F.count("*") - F.count(short)).alias("n_excluded"), F.percentile("gap_s", F.lit(0.95)).alias("q95_all"), F.percentile("gap_s", F.lit(0.99)).alias("q99_all"))
+    n_rows = fixes.count()
+    steps = step_metrics(fixes, id_col, n_rows).withColumn("gap_s", F.col("duration_min") * 60).filter("gap_s > 0")
+    key = F.struct(F.col(app).alias("app"), F.coalesce(F.col("dist_m") <= still_m, F.lit(False)).alias("rest")).alias("key")
+    ranked = numbered(steps.groupBy(key, "gap_s").agg(F.count("*").alias("n")), ["key", "gap_s"], n_rows=n_rows, name="at", start=0, weight="n")
+    is_short = F.col("gap_s") < most_gap_s
+    short, n_short = F.when(is_short, F.col("gap_s")), F.when(is_short, F.col("n")).otherwise(0)
+    groups = ranked.groupBy("key").agg(F.min("at").alias("first"), F.sum(n_short).alias("n_points"), F.sum("n").alias("n_all"), F.min(short).alias("min_gap"), F.max(short).alias("max_gap"), F.try_divide(F.sum(short * F.col("n")), F.sum(n_short)).alias("mean_gap"))
+    # short gaps come before longer ones, so their ranks among themselves are those among all
+    quantiles = {c: (F.col("n_points"), p) for c, p in (("q25", 0.25), ("median_gap", 0.5), ("q75", 0.75))} | {c: (F.col("n_all"), p) for c, p in (("q95_all", 0.95), ("q99_all", 0.99))}
+    rank = F.col("at") - F.col("first")
+    at_rank = lambda r: F.max(F.when((rank <= r) & (r < rank + F.col("n")), F.col("gap_s")))
+    place = {c: (k - 1) * F.lit(p) for c, (k, p) in quantiles.items()}
+    ends = [x for c, r in place.items() for x in (at_rank(F.floor(r)).alias(f"{c}_low"), at_rank(F.ceil(r)).alias(f"{c}_high"))]
+    found = lookup_join(ranked, groups, ["key"], spread="gap_s", width=F.lit(128) + F.coalesce(F.octet_length("key.app"), F.lit(0))).groupBy(*groups.columns).agg(*ends)
+
+    def between(c: str):
+        low, high, r = F.col(f"{c}_low"), F.col(f"{c}_high"), place[c]
+        return F.when(quantiles[c][0] > 0, F.when(low == high, low).otherwise((F.ceil(r) - r) * low + (r - F.floor(r)) * high)).alias(c)
+
+    movement = F.when(F.col("key.rest"), "Stationary").otherwise("Moving").alias("movement")
+    gaps = found.select(F.col("key.app").alias("app"), movement, "n_points", "min_gap", between("q25"), between("median_gap"), between("q75"), "max_gap", "mean_gap", (F.col("n_all") - F.col("n_points")).alias("n_excluded"), between("q95_all"), between("q99_all"))
     wide = gaps.groupBy("app").agg(*(F.max(F.when(F.col("movement") == m, F.col("median_gap"))).alias(m.lower()) for m in ("Stationary", "Moving")))
     ratio = F.try_divide("stationary", "moving")
     return gaps, wide.select("app", "stationary", "moving", ratio.alias("ratio"), F.when(ratio.isNull(), None).when(ratio > 1.5, "likely adaptive sampling").otherwise("likely fixed-interval sampling").alias("sampling"))
